@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MEMBER = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*')
@@ -152,7 +152,7 @@ def rename_cost(a: dict, b: dict) -> float:
         chance = 2 * math.sqrt(1 / a["n_num"] + 1 / b["n_num"])
         ratio = abs(math.log((math.sqrt(v[0]) + 1e-3) / (math.sqrt(v[1]) + 1e-3)))
         value = max(0.0, abs(m[0] - m[1]) / spread - chance) + 0.5 * max(0.0, ratio - 0.9)
-    elif (a["n_num"] >= 2) != (b["n_num"] >= 2) and min(a["n"], b["n"]) > 0 and (a["strings"] + a["numbers"]) and (b["strings"] + b["numbers"]):
+    elif (a["n_num"] >= 2) != (b["n_num"] >= 2) and a["strings"] + a["numbers"] and b["strings"] + b["numbers"]:
         value = 2.0
     else:
         value = 0.6
@@ -244,12 +244,12 @@ def _json_type(field: dict) -> str | None:
     return "number" if field["numbers"] >= field["strings"] else "string"
 
 
-def _dotted(key: tuple, raw: str) -> str:
-    return ".".join((*key[0], raw))
+def _dotted(path: tuple, label: str) -> str:
+    return ".".join((*path, label))
 
 
-def _changes(pdf: pd.DataFrame, file: str, order: str) -> Iterator[tuple[str, str, str, str]]:
-    """(file, change, raw label, column) along the files of one feed."""
+def _changes(pdf: pd.DataFrame, file: str, order: str) -> Iterator[tuple[str, str, str, str, str]]:
+    """(file, change, raw label, column, normal label) along the files of one feed."""
     columns: dict[tuple, str] = {}
     types: dict[str, str | None] = {}
     before: dict[tuple, dict] = {}
@@ -259,46 +259,52 @@ def _changes(pdf: pd.DataFrame, file: str, order: str) -> Iterator[tuple[str, st
         steps = edit_script(before, after) if at else [("first", None, k) for k in after]
         for kind, a, b in steps:
             if kind == "delete":
-                yield name, "removed", _dotted(a, before[a]["raw_label"]), columns[a]
+                yield name, "removed", _dotted(a[0], before[a]["raw_label"]), columns[a], _dotted(*a)
                 continue
             field = after[b]
-            raw = _dotted(b, field["raw_label"])
+            raw, label = _dotted(b[0], field["raw_label"]), _dotted(*b)
             if a is None:
-                column = ".".join((*b[0], b[1]))
+                column = label
                 if column in born:  # another field once had this column
                     born[column] += 1
                     column = f"{column}#{born[column]}"
                 else:
                     born[column] = 1
                 if kind == "add":
-                    yield name, "added", raw, column
+                    yield name, "added", raw, column, label
             else:
                 column = columns[a]
                 if kind in ("rename", "move"):
-                    yield name, "renamed" if kind == "rename" else "moved", raw, column
+                    yield name, "renamed" if kind == "rename" else "moved", raw, column, label
                 elif before[a]["raw_label"] != field["raw_label"]:
-                    yield name, "respelled", raw, column
+                    yield name, "respelled", raw, column, label
             now[b] = column
+            if a is not None and field["n_num"] < 2:  # a file of nulls: the values known before stand for it
+                field |= {k: before[a][k] for k in ("n_num", "s1", "s2")}
             kind_now, kind_was = _json_type(field), types.get(column)
             if a is not None and kind_now and kind_was and kind_now != kind_was:
-                yield name, "type_changed", raw, column
+                yield name, "type_changed", raw, column, label
             types[column] = kind_now or (kind_was if a is not None else None)
-            yield name, "column", raw, column
+            yield name, "column", raw, column, label
         before, columns = after, now
 
 
+def _joined(label: str) -> Column:
+    return F.array_join(F.concat("path", F.array(label)), ".")
+
+
 def schema_changes(found: DataFrame, feed: str, file: str, order: str, row: str) -> DataFrame:
-    """(feed, file, change, raw_label, column): every change, and with change ``column`` the
+    """(feed, file, change, raw_label, column, label): every change, and with change ``column`` the
     place of each raw label in the consistent table; ``collision`` for further raw labels."""
     schemas = file_schemas(found, feed, file, order, row)
 
     def scripts(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(pdf[feed].iloc[0], *x) for x in _changes(pdf, file, order)]
-        return pd.DataFrame(rows, columns=[feed, file, "change", "raw_label", "column"])
+        return pd.DataFrame(rows, columns=[feed, file, "change", "raw_label", "column", "label"])
 
     # a group is one feed's schemas: files times fields, no records
-    changes = schemas.groupBy(feed).applyInPandas(scripts, f"{feed} string, {file} string, change string, raw_label string, column string")
-    collisions = found.where("further").select(feed, file, F.lit("collision").alias("change"), F.array_join(F.concat("path", F.array("raw_label")), ".").alias("raw_label"), F.lit(None).cast("string").alias("column"))
+    changes = schemas.groupBy(feed).applyInPandas(scripts, f"{feed} string, {file} string, change string, raw_label string, column string, label string")
+    collisions = found.where("further").select(feed, file, F.lit("collision").alias("change"), _joined("raw_label").alias("raw_label"), F.lit(None).cast("string").alias("column"), _joined("label").alias("label"))
     return changes.unionByName(collisions.distinct())
 
 
@@ -308,18 +314,11 @@ def consistent_table(found: DataFrame, changes: DataFrame, feed: str, file: str,
     The scripts act as a projection: each first key's (feed, file, path, label) names its
     column.  Raw labels that differ from the file's usual one only in spelling follow it.
     """
-    places = changes.where("change = 'column'").withColumn("_label", _label_of(F.col("raw_label"))).select(feed, file, "_label", "column").distinct()
-    cells = found.where(~F.col("further") & ~F.col("kind").isin("object")).withColumn("_label", F.array_join(F.concat("path", F.array("label")), "."))
+    places = changes.where("change = 'column'").select(feed, file, F.col("label").alias("_label"), "column")
+    cells = found.where(~F.col("further") & (F.col("kind") != "object")).withColumn("_label", _joined("label"))
     return cells.join(places, [feed, file, "_label"]).select(row_id, feed, file, "column", "text", "num")
 
 
-def _label_of(raw):
-    from quillspan.functions.scalars import snake_label
-
-    parts = F.transform(F.split(raw, r"\."), lambda x: snake_label(x))
-    return F.array_join(parts, ".")
-
-
 def wide_table(cells: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     """One row per record with the given columns (a fixed list, so no value is collected)."""
     return cells.groupBy(row_id).pivot("column", columns).agg(F.first("text"))

@@ -70,12 +70,6 @@ cells as (
   union all select anthro_row_id, load_id, 'height_w_shoes', height_w_shoes from combine_anthro
   union all select anthro_row_id, load_id, 'position', position from combine_anthro)"""
 
-_MASKS = """
-masked as (
-  select *, coalesce(trim(value, ' ') = '', true) as missing,
-    case when not coalesce(trim(value, ' ') = '', true) then
-      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '\\p{Lu}', 'A', 'g'), '[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}]', 'a', 'g'), '[0-9]', '9', 'g'), '[\\p{Nd}]', 'N', 'g'), '[\\t\\n\\f\\r\\v]', 'S', 'g') end as raw_mask
-  from cells)"""
 
 SQL = {
     "p1_found": f"""
@@ -109,7 +103,7 @@ v as (select column_name, value, count(*) as n from c where not missing group by
 select column_name, cast(count(*) as bigint) as n_rows, cast(count(*) filter (where missing) as bigint) as n_missing,
   cast(count(distinct value) filter (where not missing) as bigint) as n_distinct, max(k.n_masks) as n_masks,
   min(value) filter (where not missing) as low, max(value) filter (where not missing) as high, max(k.n_top) as n_top
-from c join (select column_name, max(n) as n_top, count(distinct list_aggregate(list_transform(string_split(m, ''), lambda x: x), 'string_agg', '')) as n_masks from (
+from c join (select column_name, max(n) as n_top, count(distinct m) as n_masks from (
   select column_name, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '\\p{{Lu}}', 'A', 'g'), '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]', 'a', 'g'), '[0-9]', '9', 'g'), 'A{{2,}}', 'A+', 'g'), 'a{{2,}}', 'a+', 'g'), '9{{2,}}', '9+', 'g'), ' {{2,}}', ' +', 'g'), '[.]{{2,}}', '.+', 'g'), '[０-９]{{2,}}', 'N+', 'g') as m from v) group by column_name) k using (column_name)
 group by column_name""",
     "p1_numeric_profile": "\nunion all\n".join(
