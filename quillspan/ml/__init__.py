@@ -1 +1 @@
-"""Subpackage of quillspan."""
+"""Splits, preparation, models, calibration, metrics and tuning on Spark."""

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import quality
+from quillspan.plans import cleaning, joining, modelling, panels, quality, text
 
-FLAGSHIP = "p2_found"
-_MODULES = (quality,)
+FLAGSHIP = "career_vs_last_delta"
+_MODULES = (quality, panels, joining, cleaning, text, modelling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
