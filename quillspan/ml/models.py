@@ -52,7 +52,7 @@ def ridge(alpha: float, n: int, target_deviation: float, target: str) -> LinearR
 
 def logistic(c: float, n: int, target: str, max_iter: int = 200) -> LogisticRegression:
     """Logistic regression with inverse penalty ``c`` as summed loss, not mean loss."""
-    return LogisticRegression(featuresCol="features", labelCol=target, elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * n), maxIter=max_iter, tol=1e-9)
+    return LogisticRegression(featuresCol="features", labelCol=target, elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * n), maxIter=max_iter, tol=1e-8)
 
 
 def estimator(name: str, params: Mapping, target: str, n: int, deviation: float = 1.0):

@@ -1 +1,203 @@
-QUERIES, SQL = {}, {}
+"""Queries over joins, set operations, identity and membership."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.functions.scalars import clean_id, compact_name, split_qualifier
+from quillspan.operators import audit
+from quillspan.operators.aggregates import union_all
+from quillspan.operators.joins import existence_flag, identity_tiers, key_membership, latest_per, merge_rosters, purge_groups, symmetric_difference, usual_mapping, validated_join
+from quillspan.plans.base import Book, sql_id
+from quillspan.sources.tables import table
+
+book = Book()
+_ROSTERS = {"building": "BUILDING", "machinery": "MACHINERY", "furniture": "FURNITURE", "household": "HOUSEHOLD"}
+
+
+def _rosters(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Nations of customers of four market segments with a high balance, as four sources."""
+    c = table(spark, d, "customer", "c_nationkey", "c_mktsegment", "c_acctbal")
+    return {n: c.where((F.col("c_mktsegment") == s) & (F.col("c_acctbal") > 8000)).groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 6).alias(n)) for n, s in _ROSTERS.items()}
+
+
+_ROSTER_SQL = ", ".join(f"{n} as (select c_nationkey, round(avg(c_acctbal), 6) as {n} from customer where c_mktsegment = '{s}' and c_acctbal > 8000 group by c_nationkey)" for n, s in _ROSTERS.items())
+
+
+@book.query(f"with {_ROSTER_SQL} select * from building join machinery using (c_nationkey) join furniture using (c_nationkey) join household using (c_nationkey)")
+def four_source_intersection(spark: SparkSession, d: str) -> DataFrame:
+    return merge_rosters(list(_rosters(spark, d).values()), ["c_nationkey"], "inner")
+
+
+@book.query(f"with {_ROSTER_SQL} select * from building full join machinery using (c_nationkey) full join furniture using (c_nationkey) full join household using (c_nationkey)")
+def four_source_outer(spark: SparkSession, d: str) -> DataFrame:
+    return merge_rosters(list(_rosters(spark, d).values()), ["c_nationkey"], "full")
+
+
+_MEMBER_SQL = "k as (" + " union all ".join(f"select distinct o_custkey as key, '{n}' as source from orders where o_orderpriority = '{p}'" for n, p in (("urgent", "1-URGENT"), ("high", "2-HIGH"), ("low", "5-LOW"))) + ")"
+
+
+@book.query(f"with {_MEMBER_SQL} select key, cast(max(case when source = 'urgent' then 1 else 0 end) as int) as urgent, cast(max(case when source = 'high' then 1 else 0 end) as int) as high, cast(max(case when source = 'low' then 1 else 0 end) as int) as low, count(*) as sources_present from k group by key having count(*) < 3")
+def key_membership_audit(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders", F.col("o_custkey").alias("key"), "o_orderpriority")
+    parts = {n: o.where(F.col("o_orderpriority") == p) for n, p in (("urgent", "1-URGENT"), ("high", "2-HIGH"), ("low", "5-LOW"))}
+    return key_membership(parts, ["key"]).where("sources_present < 3")
+
+
+@book.query("select c_custkey, case when exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT') then 1 else 0 end as has_urgent from customer")
+def existence_flag_urgent(spark: SparkSession, d: str) -> DataFrame:
+    urgent = table(spark, d, "orders", F.col("o_custkey").alias("c_custkey"), "o_orderpriority").where("o_orderpriority = '1-URGENT'")
+    return existence_flag(table(spark, d, "customer", "c_custkey"), urgent, ["c_custkey"], "has_urgent")
+
+
+@book.query(f"""with e as (select event_id, {sql_id('nba_player_id')} as player, draft_year from draft_classification)
+select event_id, player from e where draft_year <= 2012 and (player is null or player not in (select player from e where draft_year > 2012 and player is not null))""")
+def anti_purge(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "draft_classification", "event_id", "nba_player_id", "draft_year").withColumn("player", clean_id("nba_player_id"))
+    return purge_groups(e.where("draft_year <= 2012"), e.where("draft_year > 2012"), "player").select("event_id", "player")
+
+
+@book.query("""with a as (select distinct o_custkey as key from orders where year(o_orderdate) = 1996), b as (select distinct o_custkey as key from orders where year(o_orderdate) = 1997)
+select key, 'left' as side from a where key not in (select key from b) union all select key, 'right' from b where key not in (select key from a)""")
+def key_symmetric_difference(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders", F.col("o_custkey").alias("key"), F.year("o_orderdate").alias("year"))
+    return symmetric_difference(o.where("year = 1996").select("key").distinct(), o.where("year = 1997").select("key").distinct())
+
+
+@book.query("select c_custkey as key, c_name as name, c_acctbal as balance, c_mktsegment as segment from customer union all select s_suppkey, s_name, s_acctbal, null from supplier")
+def union_drift(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer", F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = table(spark, d, "supplier", F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return union_all([c, s])
+
+
+@book.query("""with l as (select l_partkey, l_suppkey, count(*) as n, cast(sum(l_quantity) as double) as quantity from lineitem group by all),
+r as (select l_partkey, l_suppkey, count(*) as n_returned from lineitem where l_returnflag = 'R' group by all)
+select l.l_partkey, l.l_suppkey, n, quantity, coalesce(n_returned, 0) as n_returned from l left join r using (l_partkey, l_suppkey)""")
+def left_join_composite(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    keys = ["l_partkey", "l_suppkey"]
+    left = items.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    right = items.where("l_returnflag = 'R'").groupBy(*keys).agg(F.count("*").alias("n_returned"))
+    return validated_join(left, right, keys, "one_to_one").fillna(0, ["n_returned"])
+
+
+@book.query("select o_orderkey, o_totalprice, c_name, n_name, r_name from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey where o_totalprice > 200000")
+def left_join_renamed(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice").where("o_totalprice > 200000")
+    c, n, r = table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey"), table(spark, d, "nation"), table(spark, d, "region")
+    places = n.join(r, n.n_regionkey == r.r_regionkey, "left")
+    whole = o.join(c, o.o_custkey == c.c_custkey, "left").join(places, c.c_nationkey == places.n_nationkey, "left")
+    return whole.select("o_orderkey", "o_totalprice", "c_name", "n_name", "r_name")
+
+
+@book.query("""with a as (select o_custkey, round(sum(o_totalprice), 2) as total from orders where year(o_orderdate) = 1996 group by 1), b as (select o_custkey, round(sum(o_totalprice), 2) as total from orders where year(o_orderdate) = 1997 group by 1)
+select o_custkey, a.total as total_before, b.total as total_after from a join b using (o_custkey)""")
+def inner_suffix_join(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    part = lambda y, n: o.where(F.col("year") == y).groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias(n))
+    return part(1996, "total_before").join(part(1997, "total_after"), "o_custkey")
+
+
+@book.query("select * from (select l_partkey, l_suppkey, count(*) as n from lineitem group by l_partkey, l_suppkey) qualify row_number() over (partition by l_partkey order by n desc, l_suppkey) = 1")
+def crosswalk_mode(spark: SparkSession, d: str) -> DataFrame:
+    return usual_mapping(table(spark, d, "lineitem", "l_partkey", "l_suppkey"), "l_partkey", "l_suppkey")
+
+
+_NAME = "regexp_replace(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '\\b(jr|sr|ii|iii|iv|v)\\b\\.?', ' ', 'g'), '[^a-z0-9]+', '', 'g')"
+
+
+@book.query(f"""with e as (select event_id, {_NAME.format('player_name')} as name, {_NAME.format("coalesce(organization, '')")} as qualifier, draft_year as year from draft_classification),
+c as (select distinct {_NAME.format('athlete_display_name')} as name, season, {sql_id('athlete_id')} as entity, {_NAME.format('team_display_name')} as team from player_season_from_box where {sql_id('athlete_id')} is not null and athlete_display_name is not null),
+m as (select event_id, entity, bool_or(season = year) as now, bool_or(season = year and coalesce(team <> '' and qualifier <> '' and (contains(team, qualifier) or contains(qualifier, team)), false)) as fit
+  from e join c using (name) where name <> '' and season between year - 6 and year group by event_id, entity),
+f as (select event_id, count(*) filter (where now) as n_now, min(entity) filter (where now) as e_now, count(*) filter (where fit) as n_fit, min(entity) filter (where fit) as e_fit, count(*) filter (where not now) as n_past, min(entity) filter (where not now) as e_past from m group by event_id),
+g as (select e.event_id, qualifier <> '' as asked, coalesce(n_now, 0) as n_now, e_now, coalesce(n_fit, 0) as n_fit, e_fit, coalesce(n_past, 0) as n_past, e_past from e left join f using (event_id))
+select event_id, case when n_now = 1 then e_now when n_now > 1 and asked and n_fit = 1 then e_fit when n_now = 0 and n_past = 1 then e_past end as entity,
+ case when n_now = 1 then 'same_season_unique_compact_name' when n_now > 1 and asked and n_fit = 1 then 'same_season_unique_team_qualifier' when n_now > 1 and asked and n_fit = 0 then 'qualifier_did_not_identify_candidate'
+  when n_now > 1 and asked then 'ambiguous_team_qualifier' when n_now > 1 then 'ambiguous_same_season_compact_name' when n_past = 1 then 'prior_six_seasons_unique_compact_name' when n_past > 1 then 'ambiguous_prior_six_seasons_compact_name' else 'unmatched_no_exact_candidate' end as status from g""")
+def identity_match_tiers(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "draft_classification", "event_id", "player_name", "organization", "draft_year")
+    events = events.select("event_id", compact_name("player_name").alias("name"), compact_name("organization").alias("qualifier"), F.col("draft_year").alias("year"))
+    box = table(spark, d, "player_season_from_box", "athlete_display_name", "season", "athlete_id", "team_display_name").where("athlete_display_name is not null")
+    return identity_tiers(events, box.select(compact_name("athlete_display_name").alias("name"), "season", clean_id("athlete_id").alias("entity"), compact_name("team_display_name").alias("team")))
+
+
+@book.query(f"""with e as (select event_id, {sql_id('college_espn_id')} as college, college_match_method as how from draft_classification)
+select coalesce(nullif(trim(how), ''), 'none') as method, count(*) as n, count(college) as n_matched, round(count(college) / count(*), 6) as rate from e group by 1""")
+def match_audit(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "draft_classification", "college_match_method", "college_espn_id")
+    how = F.coalesce(F.nullif(F.trim("college_match_method"), F.lit("")), F.lit("none")).alias("method")
+    got = F.count(clean_id("college_espn_id"))
+    return e.groupBy(how).agg(F.count("*").alias("n"), got.alias("n_matched"), F.round(got / F.count("*"), 6).alias("rate"))
+
+
+@book.query(f"select draft_year, cast(drafted as int) as drafted, count(*) as n, round(avg(case when {sql_id('college_espn_id')} is null then 0.0 else 1.0 end), 6) as match_rate from draft_classification group by all")
+def match_rate_by_year(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "draft_classification", "draft_year", "drafted", "college_espn_id")
+    return e.groupBy("draft_year", F.col("drafted").cast("int").alias("drafted")).agg(F.count("*").alias("n"), F.round(F.avg(clean_id("college_espn_id").isNotNull().cast("double")), 6).alias("match_rate"))
+
+
+@book.query("""with w as (select * from orders), p as (select * from orders where year(o_orderdate) <= 1997 union all select * from orders where year(o_orderdate) > 1997)
+select (select count(*) from (select * from w except all select * from p)) as only_left, (select count(*) from (select * from p except all select * from w)) as only_right, 1 as equal""")
+def rollup_parity(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    year = F.year("o_orderdate")
+    return audit.same_rows(o, union_all([o.where(year <= 1997), o.where(year > 1997)]))
+
+
+@book.query("""with l as (select count(*) as a, sum(n) as b from (select o_orderkey, count(*) as n from lineitem join orders on l_orderkey = o_orderkey group by 1)), r as (select count(*) as c from lineitem)
+select 'rows of orders add up' as check_name, cast(b as bigint) as found, c as expected, case when b = c then 'PASS' else 'FAIL' end as verdict from l, r
+union all select 'every order has a customer', count(*), (select count(*) from orders), case when count(*) = (select count(*) from orders) then 'PASS' else 'FAIL' end from orders join customer on o_custkey = c_custkey""")
+def consistency_table(spark: SparkSession, d: str) -> DataFrame:
+    items, orders, customers = table(spark, d, "lineitem", "l_orderkey"), table(spark, d, "orders", "o_orderkey", "o_custkey"), table(spark, d, "customer", "c_custkey")
+    per_order = items.groupBy("l_orderkey").agg(F.count("*").alias("n")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    pairs = [
+        ("rows of orders add up", per_order.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("found")), items.agg(F.count("*").alias("expected"))),
+        ("every order has a customer", orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").agg(F.count("*").alias("found")), orders.agg(F.count("*").alias("expected"))),
+    ]
+    # each side is one aggregated row
+    rows = [a.crossJoin(b).select(F.lit(n).alias("check_name"), "found", "expected", F.when(F.col("found") == F.col("expected"), "PASS").otherwise("FAIL").alias("verdict")) for n, a, b in pairs]
+    return union_all(rows)
+
+
+@book.query("""with r as (select year(o_orderdate) as y, count(*) as n from orders group by 1) select cast(y as int) as year, n, cast(sum(n) over () as bigint) as n_all, round(n / sum(n) over (), 6) as share from r""")
+def source_summary(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    o = table(spark, d, "orders", F.year("o_orderdate").alias("year")).groupBy("year").agg(F.count("*").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row a year
+    return o.select("year", "n", whole.alias("n_all"), F.round(F.col("n") / whole, 6).alias("share"))
+
+
+@book.query("""select o_orderkey, status_changed from (select l_orderkey as o_orderkey, count(distinct l_linestatus) > 1 as status_changed from lineitem group by 1) where status_changed""")
+def row_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem", F.col("l_orderkey").alias("o_orderkey"), "l_linestatus").groupBy("o_orderkey").agg((F.countDistinct("l_linestatus") > 1).alias("status_changed"))
+    return rows.where("status_changed")
+
+
+@book.query(f"""with a as (select {sql_id('nba_player_id')} as player, draft_year, max(cast(drafted as int)) as drafted from draft_classification where {sql_id('nba_player_id')} is not null group by all),
+m as (select {sql_id('nba_player_id')} as player, draft_year, round(avg(case when not isnan(wingspan) then wingspan end), 6) as wingspan from combine_anthro where {sql_id('nba_player_id')} is not null group by all)
+select player, draft_year, drafted, wingspan, case when wingspan is null then 0 else 1 end as combine_available from a left join m using (player, draft_year)""")
+def pip_two_stage(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "draft_classification", "nba_player_id", "draft_year", "drafted").withColumn("player", clean_id("nba_player_id")).where("player is not null")
+    m = table(spark, d, "combine_anthro", "nba_player_id", "draft_year", "wingspan").withColumn("player", clean_id("nba_player_id")).where("player is not null")
+    keys = ["player", "draft_year"]
+    left = a.groupBy(*keys).agg(F.max(F.col("drafted").cast("int")).alias("drafted"))
+    right = m.groupBy(*keys).agg(F.round(F.avg(F.when(~F.isnan("wingspan"), F.col("wingspan"))), 6).alias("wingspan"))
+    return validated_join(left, right, keys, "one_to_one").withColumn("combine_available", F.col("wingspan").isNotNull().cast("int"))
+
+
+@book.query(f"""select {sql_id('nba_player_id')} as player, draft_year, event_id from draft_classification where {sql_id('nba_player_id')} is not null qualify row_number() over (partition by {sql_id('nba_player_id')} order by draft_year, event_id) = 1""")
+def draft_roster(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "draft_classification", "event_id", "nba_player_id", "draft_year").withColumn("player", clean_id("nba_player_id")).where("player is not null")
+    return latest_per(e, ["player"], F.col("draft_year").asc(), F.col("event_id").asc()).select("player", "draft_year", "event_id")
+
+
+@book.query("select part.p_partkey, regexp_replace(part.p_name, '\\s*\\([^()]*\\)\\s*$', '') as base, regexp_replace(lower(regexp_replace(part.p_name, '\\s*\\([^()]*\\)\\s*$', '')), '[^a-z0-9]+', '', 'g') as base_compact, '' as qualifier_compact from part")
+def qualifier_split(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part", "p_partkey", split_qualifier("p_name").alias("q")).select("p_partkey", "q.*")
+
+
+QUERIES, SQL = book.queries, book.sql
