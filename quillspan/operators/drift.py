@@ -134,6 +134,12 @@ def _words(label: str) -> set[str]:
     return {label[i : i + 2] for i in range(len(label) - 1)} or {label}
 
 
+def _value_kind(field: dict) -> str | None:
+    if field["n_num"]:
+        return "number"
+    return "text" if field["strings"] else "other" if field["others"] else None
+
+
 def rename_cost(a: dict, b: dict) -> float:
     """Cost of a field going on as another label; adding plus deleting costs 2.
 
@@ -144,16 +150,17 @@ def rename_cost(a: dict, b: dict) -> float:
     grams = _words(a["label"]), _words(b["label"])
     name = 1 - len(grams[0] & grams[1]) / max(1, len(grams[0] | grams[1]))
     moved = min(1.0, abs(a["place"] - b["place"]) / 3)
-    if a["n_num"] >= 2 and b["n_num"] >= 2:
+    kinds = {k for x in (a, b) if (k := _value_kind(x))}
+    if len(kinds) > 1:
+        value = 2.0
+    elif kinds == {"number"} and a["n_num"] and b["n_num"]:
         m = [x["s1"] / x["n_num"] for x in (a, b)]
-        v = [max(0.0, (x["s2"] - x["s1"] ** 2 / x["n_num"]) / (x["n_num"] - 1)) for x in (a, b)]
+        v = [max(0.0, (x["s2"] - x["s1"] ** 2 / x["n_num"]) / max(1, x["n_num"] - 1)) for x in (a, b)]
         spread = math.sqrt((v[0] + v[1]) / 2) + 0.01 * (abs(m[0]) + abs(m[1])) / 2 + 1e-9
         # the distance that means of samples of this size keep by chance is taken off
         chance = 2 * math.sqrt(1 / a["n_num"] + 1 / b["n_num"])
         ratio = abs(math.log((math.sqrt(v[0]) + 1e-3) / (math.sqrt(v[1]) + 1e-3)))
         value = max(0.0, abs(m[0] - m[1]) / spread - chance) + 0.5 * max(0.0, ratio - 0.9)
-    elif (a["n_num"] >= 2) != (b["n_num"] >= 2) and a["strings"] + a["numbers"] and b["strings"] + b["numbers"]:
-        value = 2.0
     else:
         value = 0.6
     return value + 0.5 * name + 0.5 * moved
@@ -279,7 +286,7 @@ def _changes(pdf: pd.DataFrame, file: str, order: str) -> Iterator[tuple[str, st
                 elif before[a]["raw_label"] != field["raw_label"]:
                     yield name, "respelled", raw, column, label
             now[b] = column
-            if a is not None and field["n_num"] < 2:  # a file of nulls: the values known before stand for it
+            if a is not None and not field["n_num"] and not field["strings"]:  # a file of nulls: the values known before stand for it
                 field |= {k: before[a][k] for k in ("n_num", "s1", "s2")}
             kind_now, kind_was = _json_type(field), types.get(column)
             if a is not None and kind_now and kind_was and kind_now != kind_was:
