@@ -9,7 +9,7 @@ each block the best chain is kept.  Components above ``1 / heavy_parts`` of all
 is left of each split.
 
 Defined results: a row without any key is a component of its own; null labels count as 0;
-repeated rows stay together by their keys; an empty table gives an empty result.
+repeated rows stay together by their keys; an empty table or plan gives an empty result.
 """
 
 from __future__ import annotations
@@ -109,6 +109,8 @@ def split_groups(members: DataFrame, row_id: str, label: DataFrame | None, plan:
     their shares, a handful of rows.
     """
     names, shares = [n for n, _ in plan], np.array([s for _, s in plan], float)
+    if not names:
+        return members.limit(0).withColumn("split_name", F.lit(None).cast("string"))
     if len(names) > 1000 or (shares < 0).any() or abs(shares.sum() - 1) > 1e-6:
         raise ValueError("a plan has at most 1000 splits, with shares that add up to 1")
     rows = members if label is None else members.join(label, row_id, "left")

@@ -29,8 +29,8 @@ comp as (select a as event_id, min(b) as g from reach group by a)
 select g as group_event_id, event_id from comp where g <> event_id""",
     "p5_found": f"""
 with r as (select *, {_ID.format('nba_player_id')} as pid from combine_anthro),
-k as (select *, count(*) over (partition by pid, draft_year) as n from r where pid is not null),
-v as ({' union all '.join(f"select pid, draft_year, '{f}' as field, anthro_row_id, trust_rank, loaded_at, {x} as value from k where n > 1" for f, x in _FIELDS.items())})
+k as (select *, count(*) over (partition by pid, draft_year) as of_key from r where pid is not null),
+v as ({' union all '.join(f"select pid, draft_year, '{f}' as field, anthro_row_id, trust_rank, loaded_at, {x} as value from k where of_key > 1" for f, x in _FIELDS.items())})
 select pid as nba_player_id, draft_year, field, anthro_row_id from v where value is not null
 qualify row_number() over (partition by pid, draft_year, field order by trust_rank nulls last, loaded_at desc nulls last, anthro_row_id) = 1""",
 }
