@@ -1,25 +1,26 @@
 """Metrics as aggregates over (actual, score); tied scores count as one step.
 
-Running counts go over distinct scores that were counted first; a partition is a group such
-as a year, and its distinct scores are ordered, not its rows.
+Running counts go over distinct scores that were counted first, in two levels, so neither a
+group such as a year nor the whole must fit one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.scalars import safe_divide
+from quillspan.operators.windows import group_totals, running_totals
 
 
 def _steps(df: DataFrame, actual: str, score: str, by: Sequence[str]) -> DataFrame:
     """Per group and distinct score, from the highest: positives, negatives and running counts."""
     counts = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(actual).cast("long")).alias("pos"), F.count("*").alias("n"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = whole.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down), "all_pos": F.sum("pos").over(whole), "all_n": F.sum("n").over(whole)})
+    steps = running_totals(counts, by, "score", {"tp": "pos", "seen": "n"}, descending=True)
+    totals = counts.groupBy(*by).agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"))
+    return group_totals(steps, totals, by, ["all_pos", "all_n"])
 
 
 def precision_recall(df: DataFrame, actual: str, score: str, by: Sequence[str] = ()) -> DataFrame:

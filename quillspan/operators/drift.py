@@ -11,7 +11,7 @@ sees one row per (file, field), never records.
 
 Defined results: a null or empty record adds nothing; of a record that is cut off the
 complete members count; an unlabelled ("") field is a field like any other; an empty table
-gives empty results.
+gives empty results; a null feed or file counts as one more feed or file.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.session import cut_lineage
+
 _MEMBER = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*')
 _ATOM = re.compile(r'"((?:[^"\\]|\\.)*)"|true|false|null|-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?(?=\s*[,}\]])')
 _NUMBER = re.compile(r"-?[0-9]+(?:\.[0-9]+)?")
@@ -114,16 +116,22 @@ def members(records: DataFrame, record: str, *keep: str) -> DataFrame:
     return records.select(record, *columns).mapInPandas(parse, f"{kept}, {MEMBER_SCHEMA}")
 
 
-def file_schemas(found: DataFrame, feed: str, file: str, order: str, row: str) -> DataFrame:
-    """One row per (feed, file, path, label): the first keys' raw label, types, value statistics."""
-    keys = [feed, file, order, "path", "label"]
-    raw = found.where(~F.col("further")).groupBy(*keys, "raw_label").agg(
+def label_statistics(found: DataFrame, feed: str, file: str, order: str, row: str) -> DataFrame:
+    """One row per (feed, file, path, label, raw label, further): types and value statistics.
+
+    The only pass over the records; its size is that of the files' schemas, and it is cut off.
+    """
+    return cut_lineage(found.groupBy(feed, file, order, "path", "label", "raw_label", "further").agg(
         F.count("*").alias("n"), F.min(row).alias("first_row"), F.avg("place").alias("place"),
         F.count_if(F.col("kind") == "number").alias("numbers"), F.count_if(F.col("kind") == "string").alias("strings"),
         F.count_if(F.col("kind").isin("object", "array", "boolean")).alias("others"),
         F.count("num").alias("n_num"), F.sum("num").alias("s1"), F.sum(F.col("num") * F.col("num")).alias("s2"),
-    )
-    return raw.groupBy(*keys).agg(
+    ))
+
+
+def file_schemas(labels: DataFrame, feed: str, file: str, order: str) -> DataFrame:
+    """One row per (feed, file, path, label): the usual raw label of its first keys, statistics."""
+    return labels.where(~F.col("further")).groupBy(feed, file, order, "path", "label").agg(
         F.max_by("raw_label", F.struct(F.col("n"), -F.col("first_row"))).alias("raw_label"),
         *[F.sum(c).alias(c) for c in ("n", "numbers", "strings", "others", "n_num", "s1", "s2")],
         (F.sum(F.col("place") * F.col("n")) / F.sum("n")).alias("place"),
@@ -240,8 +248,10 @@ def edit_script(before: dict[tuple, dict], after: dict[tuple, dict], limit: floa
 
 def _files(pdf: pd.DataFrame, file: str, order: str) -> list[tuple[str, dict]]:
     out = []
-    for (_, name), part in sorted(pdf.groupby([order, file]), key=lambda x: x[0]):
-        out.append((name, {(tuple(r["path"]), r["label"]): r for r in part.sort_values(["place", "label"]).to_dict("records")}))
+    # files without a year come last, one without a name is a file of its own
+    parts = pdf.groupby([order, file], dropna=False)
+    for (_, name), part in sorted(parts, key=lambda x: (pd.isna(x[0][0]), 0 if pd.isna(x[0][0]) else x[0][0], "" if pd.isna(x[0][1]) else x[0][1])):
+        out.append((None if pd.isna(name) else name, {(tuple(r["path"]), r["label"]): r for r in part.sort_values(["place", "label"]).to_dict("records")}))
     return out
 
 
@@ -303,7 +313,8 @@ def _joined(label: str) -> Column:
 def schema_changes(found: DataFrame, feed: str, file: str, order: str, row: str) -> DataFrame:
     """(feed, file, change, raw_label, column, label): every change, and with change ``column`` the
     place of each raw label in the consistent table; ``collision`` for further raw labels."""
-    schemas = file_schemas(found, feed, file, order, row)
+    labels = label_statistics(found, feed, file, order, row)
+    schemas = file_schemas(labels, feed, file, order)
 
     def scripts(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(pdf[feed].iloc[0], *x) for x in _changes(pdf, file, order)]
@@ -311,7 +322,7 @@ def schema_changes(found: DataFrame, feed: str, file: str, order: str, row: str)
 
     # a group is one feed's schemas: files times fields, no records
     changes = schemas.groupBy(feed).applyInPandas(scripts, f"{feed} string, {file} string, change string, raw_label string, column string, label string")
-    collisions = found.where("further").select(feed, file, F.lit("collision").alias("change"), _joined("raw_label").alias("raw_label"), F.lit(None).cast("string").alias("column"), _joined("label").alias("label"))
+    collisions = labels.where("further").select(feed, file, F.lit("collision").alias("change"), _joined("raw_label").alias("raw_label"), F.lit(None).cast("string").alias("column"), _joined("label").alias("label"))
     return changes.unionByName(collisions.distinct())
 
 
@@ -323,7 +334,9 @@ def consistent_table(found: DataFrame, changes: DataFrame, feed: str, file: str,
     """
     places = changes.where("change = 'column'").select(feed, file, F.col("label").alias("_label"), "column")
     cells = found.where(~F.col("further") & (F.col("kind") != "object")).withColumn("_label", _joined("label"))
-    return cells.join(places, [feed, file, "_label"]).select(row_id, feed, file, "column", "text", "num")
+    c, p = cells.alias("c"), places.alias("p")
+    on = (F.col("c._label") == F.col("p._label")) & F.col(f"c.{feed}").eqNullSafe(F.col(f"p.{feed}")) & F.col(f"c.{file}").eqNullSafe(F.col(f"p.{file}"))
+    return c.join(p, on).select(f"c.{row_id}", f"c.{feed}", f"c.{file}", "p.column", "c.text", "c.num")
 
 
 def wide_table(cells: DataFrame, row_id: str, columns: list[str]) -> DataFrame:

@@ -10,18 +10,60 @@ from pyspark.sql import functions as F
 from quillspan.functions.scalars import half_up_count
 
 
+def _bucket(counts: DataFrame, order: str, parts: int) -> Column:
+    """Place of a value among cut points taken over all rows; 0 for everything if there are few.
+
+    The cut points are one row of ``parts`` numbers, whatever the size of the table.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    cuts = counts.agg(F.percentile_approx(order, shares, 10 * parts)).first()[0] or []
+    cuts = sorted(set(cuts))
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+
+
+def running_totals(counts: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False, parts: int = 64) -> DataFrame:
+    """``counts`` with running totals along ``order`` (``sums``: total's name to summed column).
+
+    Two levels: totals per stretch of values are summed up along the stretches, and only the
+    rows of one stretch are ordered together, so neither a group nor the whole need fit a task.
+    """
+    counts = counts.withColumn("_b", _bucket(counts, order, parts))
+    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    whole = counts.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{t}") for t, c in sums.items()])
+    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(direction("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{t}").over(before), F.lit(0)).alias(f"_s_{t}") for t in sums])
+    inside = Window.partitionBy(*by, "_b").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = counts.withColumns({f"_i_{t}": F.sum(c).over(inside) for t, c in sums.items()}).alias("l")
+    on = F.col("l._b") == F.col("r._b")
+    for b in by:
+        on = on & F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
+    joined = local.join(whole.alias("r"), on)
+    return joined.select(*[F.col(f"l.{c}") for c in counts.columns if c != "_b"], *[(F.col(f"l._i_{t}") + F.col(f"r._s_{t}")).alias(t) for t in sums])
+
+
+def group_totals(df: DataFrame, totals: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``df`` with the columns ``names`` of ``totals``, one row per group (null is a group)."""
+    if not by:
+        row = totals.first()  # a single row
+        return df.withColumns({n: F.lit(row[n]) for n in names})
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(f"l.{b}").eqNullSafe(F.col(f"g.{b}"))
+    return df.alias("l").join(totals.alias("g"), on, "left").select("l.*", *[f"g.{n}" for n in names])
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str, percent: bool = False) -> DataFrame:
     """Ascending rank with tied values sharing the mean of their places; nulls stay null.
 
-    Counts per value are aggregated and summed up along the values, so a partition's rows are
-    never sorted together: only its distinct values are.
+    Counts per value are aggregated first and summed up along the values in two levels.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    below = F.coalesce(F.sum("_n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = below + (F.col("_n") + 1) / 2
-    ranked = counts.withColumn(name, rank / F.sum("_n").over(whole) if percent else rank).drop("_n")
-    left, right = df.alias("l"), ranked.alias("r")
+    ranked = running_totals(counts, by, value, {"_upto": "_n"})
+    rank = F.col("_upto") - (F.col("_n") - 1) / 2
+    if percent:
+        ranked = group_totals(ranked, counts.groupBy(*by).agg(F.sum("_n").alias("_all")), by, ["_all"])
+        rank = rank / F.col("_all")
+    left, right = df.alias("l"), ranked.withColumn(name, rank).alias("r")
     on = F.col(f"l.{value}") == F.col(f"r.{value}")
     for b in by:
         on = on & F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))

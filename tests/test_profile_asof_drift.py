@@ -122,3 +122,12 @@ def test_long_and_odd_records(spark):
     _, changes = _changes(spark, files)
     got = {(r["file_name"], r["change"], r["raw_label"]) for r in changes.where("change <> 'column'").collect()}
     assert ("f_1", "collision", "é") in got and ("f_2", "added", "B") in got and ("f_2", "collision", "B") in got and ("f_2", "removed", "L") in got
+
+
+def test_files_without_name_or_year(spark):
+    rows = [(1, None, "b", 2, 0, '{"A": 1}'), (2, None, None, None, 0, '{"B": "x"}'), (3, None, "a", 1, 0, '{"A": 1}')]
+    df = spark.createDataFrame(rows, "record_id long, feed_id string, file_name string, file_year int, row_no int, record string")
+    found = drift.members(df, "record", "record_id", "feed_id", "file_name", "file_year", "row_no")
+    changes = drift.schema_changes(found, "feed_id", "file_name", "file_year", "row_no")
+    assert {(r["file_name"], r["change"], r["raw_label"]) for r in changes.where("change <> 'column'").collect()} == {(None, "added", "B"), (None, "removed", "A")}
+    assert drift.consistent_table(found, changes, "feed_id", "file_name", "record_id").count() == 3
