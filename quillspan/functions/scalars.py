@@ -17,10 +17,6 @@ MISSING_TOKENS = ("", "nan", "none", "<na>")
 # Generational suffixes that are not part of a person's name.
 NAME_SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 
-# Latin letters whose accent is no separate mark under decomposition.
-FOLD_FROM = "ßæœøđłðþıÆŒØĐŁÐÞ"
-FOLD_TO = ("ss", "ae", "oe", "o", "d", "l", "d", "th", "i", "AE", "OE", "O", "D", "L", "D", "TH")
-
 
 def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -127,3 +127,18 @@ def validate_model_table(df: DataFrame, key: Sequence[str], target: str, feature
     text = [c for c in features if not isinstance(df.schema[c].dataType, (T.NumericType, T.StringType))]
     if named or text:
         raise ValueError(f"not allowed as features: {named or text}")
+
+
+def mirror_parity(table: DataFrame, mirror: DataFrame) -> DataFrame:
+    """One row: rows of a table and of its JSON mirror, columns that only one of them names.
+
+    ``mirror`` has the form that ``files.read_result_sets`` gives.
+    """
+    heads = mirror.select(F.explode("headers").alias("h")).select(F.lower("h").alias("h")).distinct()
+    names = table.sparkSession.createDataFrame([(c.lower(),) for c in table.columns], "h string")
+    only = names.join(heads, "h", "left_anti").select(F.lit("table").alias("side"), "h").unionByName(heads.join(names, "h", "left_anti").select(F.lit("mirror").alias("side"), "h"))
+    # a handful of column names
+    odd = only.agg(F.count_if(F.col("side") == "table").alias("only_table"), F.count_if(F.col("side") == "mirror").alias("only_mirror")).first()
+    counts = table.agg(F.count("*").alias("rows_table")).first()[0], mirror.where("values is not null").count()
+    verdict = "PASS" if counts[0] == counts[1] and not odd["only_table"] and not odd["only_mirror"] else "FAIL"
+    return table.sparkSession.createDataFrame([(counts[0], counts[1], odd["only_table"], odd["only_mirror"], verdict)], "rows_table long, rows_mirror long, only_table long, only_mirror long, verdict string")

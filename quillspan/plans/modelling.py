@@ -51,7 +51,7 @@ def expanding_folds(spark: SparkSession, d: str) -> DataFrame:
 _FIT = "draft_year <= 2010"
 
 
-@book.query("with f as (select " + ", ".join(f"median({c}) as m{i}, avg(coalesce({c}, (select median({c}) from draft_classification where {_FIT}))) as a{i}, stddev_pop(coalesce({c}, (select median({c}) from draft_classification where {_FIT}))) as s{i}" for i, c in enumerate(NUMERIC[:3])) + f" from draft_classification where {_FIT}) select event_id, " + ", ".join(f"round((coalesce({c}, m{i}) - a{i}) / s{i}, 4) as z_{c}" for i, c in enumerate(NUMERIC[:3])) + ", case when combine_weight is null then 1.0 else 0.0 end as combine_weight_missing, case when coalesce(position, 'missing') = 'PG' then 1.0 else 0.0 end as is_pg from draft_classification, f")
+@book.query("with f as (select " + ", ".join(f"median({c}) as m{i}, avg(coalesce({c}, (select median({c}) from draft_classification where {_FIT}))) as a{i}, stddev_pop(coalesce({c}, (select median({c}) from draft_classification where {_FIT}))) as s{i}" for i, c in enumerate(NUMERIC[:3])) + f" from draft_classification where {_FIT}) select event_id, " + ", ".join(f"round((coalesce({c}, m{i}) - a{i}) / s{i}, 4) as z_{c}" for i, c in enumerate(NUMERIC[:3])) + ", cast(combine_weight is null as double) as combine_weight_missing, cast(coalesce(position, 'missing') = 'PG' as double) as is_pg from draft_classification, f")
 def impute_scale_onehot(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
@@ -144,7 +144,7 @@ def prepared_table(spark: SparkSession, d: str) -> DataFrame:
     return prepare_table(e, "drafted", ["combine_weight", "college_age_on_july_1"], ["position"], ["event_id"])
 
 
-@book.query("select cast(row_number() over (order by a, b) - 1 as int) as place, a as depth, b as rate from (values (1), (2), (3)) x(a), (values (0.05), (0.1)) y(b)")
+@book.query("select cast(row_number() over (order by a, b) - 1 as int) as place, a as depth, cast(b as double) as rate from (values (1), (2), (3)) x(a), (values (0.05), (0.1)) y(b)")
 def param_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = [(i, c["depth"], c["rate"]) for i, c in enumerate(candidates({"rate": [0.05, 0.1], "depth": [1, 2, 3]}))]
     return spark.createDataFrame(rows, "place int, depth int, rate double")
