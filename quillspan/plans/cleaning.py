@@ -182,11 +182,9 @@ def file_coverage(spark: SparkSession, d: str) -> DataFrame:
     return audit.file_coverage(a, "load_id", "nba_player_id", ["weight", "wingspan", "standing_reach"])
 
 
-@book.query("select feed, " + ", ".join(f"count(*) filter (where load_id = {i}) as load_{i}" for i in range(1, 5)) + " from combine_anthro group by feed")
+@book.query("select load_id, feed, count(*) as n, round(count(*) / max(n_load), 6) as share from (select *, count(*) over (partition by load_id) as n_load from combine_anthro) group by load_id, feed")
 def partition_coverage(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "combine_anthro", "feed", "load_id").where(F.col("load_id").between(1, 4)).groupBy("feed").pivot("load_id", [1, 2, 3, 4]).count()
-    every = table(spark, d, "combine_anthro", "feed").distinct()
-    return every.join(a, every.feed.eqNullSafe(a.feed), "left").select(every.feed, *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"load_{i}") for i in range(1, 5)])
+    return crosstab_share(table(spark, d, "combine_anthro", "load_id", "feed"), "load_id", "feed")
 
 
 @book.query(f"""with {ANCHORS_SQL}, b as (select distinct {sql_id('athlete_id')} as athlete from player_core)
@@ -255,10 +253,9 @@ def age_bounds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "player_core", "core_row_id", "age", "height").select("core_row_id", within("age", 16, 35).alias("age"), within("height", 60, 96).alias("height"))
 
 
-@book.query("select anthro_row_id, case when isfinite(try_cast(height_wo_shoes as double)) then try_cast(height_wo_shoes as double) end as lenient from combine_anthro where regexp_full_match(height_wo_shoes, '[0-9]+([.][0-9]+)?') or regexp_full_match(height_wo_shoes, '[a-zA-Z]+') or height_wo_shoes is null")
+@book.query("select anthro_row_id, case when isfinite(try_cast(height_wo_shoes as double)) then try_cast(height_wo_shoes as double) end as lenient from combine_anthro")
 def lenient_cast(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "combine_anthro", "anthro_row_id", "height_wo_shoes")
-    return a.where("height_wo_shoes rlike '^[0-9]+([.][0-9]+)?$' or height_wo_shoes rlike '^[a-zA-Z]+$' or height_wo_shoes is null").select("anthro_row_id", number("height_wo_shoes").alias("lenient"))
+    return table(spark, d, "combine_anthro", "anthro_row_id", "height_wo_shoes").select("anthro_row_id", number("height_wo_shoes").alias("lenient"))
 
 
 QUERIES, SQL = book.queries, book.sql
