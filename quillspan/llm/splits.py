@@ -34,7 +34,9 @@ def group_members(rows: DataFrame, row_id: str, keys: Sequence[str]) -> DataFram
     base = rows.select(F.col(row_id).alias("_id"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     for i in range(len(keys)):
         least = base.where(F.col(f"_k{i}").isNotNull()).groupBy(f"_k{i}").agg(F.min("_id").alias(f"_r{i}"))
-        base = base.join(least, f"_k{i}", "left")
+        # rows without the key get a key of their own, else they would all meet in one task
+        spread = F.coalesce(F.concat(F.lit("k"), F.col(f"_k{i}").cast("string")), F.concat(F.lit("i"), F.col("_id").cast("string")))
+        base = base.withColumn("_j", spread).join(least.select(F.concat(F.lit("k"), F.col(f"_k{i}").cast("string")).alias("_j"), f"_r{i}"), "_j", "left").drop("_j")
     reps = [f"_r{i}" for i in range(len(keys))]
     base = cut_lineage(base.select("_id", F.array_compact(F.array(*reps)).alias("_reps")))
     linked = base.where("size(_reps) > 1").select(F.col("_reps")[0].alias("a"), F.explode(F.slice("_reps", 2, len(reps))).alias("b")).where("a <> b")
