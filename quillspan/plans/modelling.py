@@ -8,13 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.functions.scalars import number
 from quillspan.ml import metrics
 from quillspan.ml.models import fit_calibrator, fit_classifier, fit_model, importance
 from quillspan.ml.prepare import learn, prepare_table
 from quillspan.ml.splits import SplitBounds, named_split
 from quillspan.ml.tuning import candidates
-from quillspan.operators.joins import latest_per
 from quillspan.operators.windows import top_fraction
 from quillspan.plans.base import Book
 from quillspan.sources.tables import table
