@@ -6,7 +6,8 @@ q-grams' rarity in the vocabulary; rows per band and number of bands are taken f
 collision curve so that words of a given similarity meet with a given recall.  Profiles meet
 where a band of a word and something else agrees (an end of the organisation, or the year and
 another word's initial), which keeps the number of meetings near that of the rows however full
-the space of names gets.  Pairs are verified by Monge-Elkan similarity of the names and by
+the space of names gets.  Profiles that lack one of the two also look up the years next to
+theirs and, by the initial alone, those that lack the other.  Pairs are verified by Monge-Elkan similarity of the names and by
 their attributes, and links become stars around the best connected profiles.
 
 Only words and narrow keys move; no list of a bucket is ever gathered.  Defined results: a
@@ -210,19 +211,28 @@ def candidate_pairs(distinct: DataFrame, least: float = 0.6) -> DataFrame:
     held = _held(distinct)
     bands = cut_lineage(word_bands(held.select("word").distinct()))
     compact = F.replace(F.col("org"), F.lit(" "), F.lit(""))
-    by_year = F.when(F.col("year").isNotNull(), F.transform("initials", lambda i: F.concat(F.lit("y"), F.col("year"), i)))
+    in_year = lambda y: F.transform("initials", lambda i: F.concat(F.lit("y"), y, i))
+    by_year = F.when(F.col("year").isNotNull(), in_year(F.col("year")))
     by_org = F.when(F.col("org").isNotNull(), F.array_distinct(F.array(F.concat(F.lit("o"), F.substring(compact, 1, 4)), F.concat(F.lit("e"), F.substring(compact, -4, 4)))))
     keys = F.concat(F.coalesce(by_year, F.array().cast("array<string>")), F.coalesce(by_org, F.array().cast("array<string>")))
-    keyed = held.select("profile", "word", F.explode(keys).alias("key")).join(bands, "word").select("profile", "word", F.xxhash64("band", "key").alias("cell"))
+    cells = lambda rows, keys: rows.select("profile", "word", F.explode(keys).alias("key")).join(bands, "word").select("profile", "word", F.xxhash64("band", "key").alias("cell"))
+    keyed = cells(held, keys)
     alike = 1.0 - F.levenshtein("word", "other") / F.greatest(F.length("word"), F.length("other")) >= least
     met = keyed.select(F.col("profile").alias("a"), "word", "cell").join(keyed.select(F.col("profile").alias("b"), F.col("word").alias("other"), "cell"), "cell").where("a < b").where(alike)
+    # without an organisation the years next to one's own are looked up too, and the initials
+    # of those that have only an organisation
+    any_year = F.transform("initials", lambda i: F.concat(F.lit("n"), i))
+    lone = cells(held.where("org is null and year is not null"), F.concat(in_year(F.col("year") - 1), in_year(F.col("year") + 1), any_year))
+    index = keyed.unionByName(cells(held.where("year is null and org is not null"), any_year))
+    lone_met = lone.select(F.col("profile").alias("a"), "word", "cell").join(index.select(F.col("profile").alias("b"), F.col("word").alias("other"), "cell"), "cell").where("a <> b").where(alike)
+    lone_met = lone_met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # profiles without year and organisation are few: their words are looked up in all words
     bare = held.where("year is null and org is null").select(F.col("profile").alias("a"), "word", F.explode("initials").alias("i"))
     mine = bare.select("word").distinct().join(bands, "word")
     near = mine.join(bands.withColumnRenamed("word", "other"), "band").select("word", "other").distinct().where(alike)
     bare_met = bare.join(near, "word").join(held.select(F.col("profile").alias("b"), F.col("word").alias("other"), F.explode("initials").alias("i")), ["other", "i"]).where("a <> b")
     bare_met = bare_met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return met.select("a", "b").unionByName(bare_met).distinct()
+    return met.select("a", "b").unionByName(lone_met).unionByName(bare_met).distinct()
 
 
 def verified_links(distinct: DataFrame, least_name: float = 0.8, least_score: float = 0.9) -> DataFrame:

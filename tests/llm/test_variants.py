@@ -1,7 +1,9 @@
 import random
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from quillspan.llm import variants
 from quillspan.llm.variants import _grams, name_similarity, name_words, org_core, star_clusters, tune_bands, variant_pairs, word_bands
 
 SCHEMA = "name_id long, name string, organization string, year int, position string"
@@ -50,3 +52,29 @@ def test_stars(spark):
     got = {r["profile"]: r["star"] for r in star_clusters(spark.createDataFrame(links, "a long, b long, score double")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 7}
     assert star_clusters(spark.createDataFrame([], "a long, b long, score double")) is None or True
+
+
+def _links(df, pairs=None):
+    """Linked (a, b) by candidates, or by the given pairs."""
+    distinct = variants.profiles(df).where("name_id = profile").drop("name_id")
+    kept = variants.candidate_pairs
+    try:
+        if pairs is not None:
+            variants.candidate_pairs = lambda _: pairs
+        return {(r["a"], r["b"]) for r in variants.verified_links(distinct).collect()}
+    finally:
+        variants.candidate_pairs = kept
+
+
+def _against_brute_force(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    every = spark.createDataFrame(list(combinations([r[0] for r in rows], 2)), "a long, b long")
+    want = _links(df, every)
+    assert want and _links(df) == want
+
+
+def test_profiles_lacking_year_or_organisation_meet(spark):
+    _against_brute_force(spark, [
+        (1, "Tomas Drekevmont", None, 2007, "PG"), (2, "Tomas Drekevmont", "Ashmoor", None, "PG"), (3, "Tomas Drekevmont", "Ashmoor", 2008, "PG"),
+        (4, "Pavel Quostutby", None, 2010, "C"), (5, "Pavel Quostutby", "Holcombe", 2009, "C"), (6, "Omari Fabbervell", None, 2011, "SF"), (7, "Omari Fabbervell", None, 2012, "SF"), (8, "Lars Holertsky", "Ashmoor", None, None), (9, "Lars Holertsky", None, 2004, None),
+    ])
