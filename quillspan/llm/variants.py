@@ -7,7 +7,8 @@ collision curve so that words of a given similarity meet with a given recall.  P
 where a band of a word and something else agrees (an end of the organisation, or the year and
 another word's initial), which keeps the number of meetings near that of the rows however full
 the space of names gets.  Profiles that lack one of the two also look up the years next to
-theirs and, by the initial alone, those that lack the other.  Pairs are verified by Monge-Elkan similarity of the names and by
+theirs and, by the initial alone, those that lack the other.  Words that many profiles have
+meet, with all words like them, only where an initial agrees besides the year or organisation.  Pairs are verified by Monge-Elkan similarity of the names and by
 their attributes, and links become stars around the best connected profiles.
 
 Only words and narrow keys move; no list of a bucket is ever gathered.  Defined results: a
@@ -190,10 +191,10 @@ def profiles(rows: DataFrame) -> DataFrame:
 
 
 def _held(distinct: DataFrame) -> DataFrame:
-    """(profile, word, other initials, org, year) of each word of four letters or more.
+    """(profile, word, org, year, other initials, narrow, wide) of each word of four letters or more.
 
-    Words that more than a thousandth of all profiles have (given names) are held only by
-    profiles that have no rarer one: they tell nobody apart.
+    ``narrow``: more than a thousandth of all profiles have the word (given names), so it tells
+    apart only together with more; ``wide``: the word is rare, or its profile has no rare one.
     """
     words = distinct.select("profile", "org", "year", "words", F.posexplode("words").alias("at", "word")).where("length(word) >= 4")
     initials = F.transform(F.col("words"), lambda w: F.substring(w, 1, 1))
@@ -201,9 +202,9 @@ def _held(distinct: DataFrame) -> DataFrame:
     words = words.select("profile", "word", "org", "year", F.when(F.size(others) > 0, others).otherwise(F.array(F.lit(""))).alias("initials"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     limit = max(20.0, distinct.count() / 1000)
-    words = words.join(counts, "word").withColumn("common", F.col("n") > limit)
-    rarest = words.groupBy("profile").agg(F.min("common").alias("all_common"))
-    return cut_lineage(words.join(rarest, "profile").where("not common or all_common").drop("n", "common", "all_common"))
+    words = words.join(counts, "word").withColumn("narrow", F.col("n") > limit).drop("n")
+    rarest = words.groupBy("profile").agg(F.min("narrow").alias("all_narrow"))
+    return cut_lineage(words.join(rarest, "profile").withColumn("wide", F.expr("not narrow or all_narrow")).drop("all_narrow"))
 
 
 def candidate_pairs(distinct: DataFrame, least: float = 0.6) -> DataFrame:
@@ -214,16 +215,26 @@ def candidate_pairs(distinct: DataFrame, least: float = 0.6) -> DataFrame:
     in_year = lambda y: F.transform("initials", lambda i: F.concat(F.lit("y"), y, i))
     by_year = F.when(F.col("year").isNotNull(), in_year(F.col("year")))
     by_org = F.when(F.col("org").isNotNull(), F.array_distinct(F.array(F.concat(F.lit("o"), F.substring(compact, 1, 4)), F.concat(F.lit("e"), F.substring(compact, -4, 4)))))
-    keys = F.concat(F.coalesce(by_year, F.array().cast("array<string>")), F.coalesce(by_org, F.array().cast("array<string>")))
-    cells = lambda rows, keys: rows.select("profile", "word", F.explode(keys).alias("key")).join(bands, "word").select("profile", "word", F.xxhash64("band", "key").alias("cell"))
-    keyed = cells(held, keys)
+    with_initial = F.flatten(F.transform(by_org, lambda o: F.transform("initials", lambda i: F.concat(o, F.lit("/"), i))))
+    keys, narrow_keys = (F.concat(*[F.coalesce(k, F.array().cast("array<string>")) for k in (by_year, o)]) for o in (by_org, with_initial))
     alike = 1.0 - F.levenshtein("word", "other") / F.greatest(F.length("word"), F.length("other")) >= least
+    # a narrow word, and every word like it, meet under that word's own code
+    own = held.where("narrow").select("word").distinct().join(bands, "word").join(bands.withColumnRenamed("word", "other"), "band")
+    own = cut_lineage(own.select("word", "other").distinct().where(alike).select(F.col("other").alias("word"), F.xxhash64(F.lit("own"), "word").alias("band")))
+
+    def cells(rows: DataFrame, keys: Column, narrow_keys: Column) -> DataFrame:
+        wide = rows.where("wide").select("profile", "word", F.explode(keys).alias("key")).join(bands, "word")
+        narrow = rows.select("profile", "word", F.explode(narrow_keys).alias("key")).join(own, "word")
+        return wide.unionByName(narrow).select("profile", "word", F.xxhash64("band", "key").alias("cell"))
+
+    keyed = cells(held, keys, narrow_keys)
     met = keyed.select(F.col("profile").alias("a"), "word", "cell").join(keyed.select(F.col("profile").alias("b"), F.col("word").alias("other"), "cell"), "cell").where("a < b").where(alike)
     # without an organisation the years next to one's own are looked up too, and the initials
     # of those that have only an organisation
     any_year = F.transform("initials", lambda i: F.concat(F.lit("n"), i))
-    lone = cells(held.where("org is null and year is not null"), F.concat(in_year(F.col("year") - 1), in_year(F.col("year") + 1), any_year))
-    index = keyed.unionByName(cells(held.where("year is null and org is not null"), any_year))
+    sought = F.concat(in_year(F.col("year") - 1), in_year(F.col("year") + 1), any_year)
+    lone = cells(held.where("org is null and year is not null"), sought, sought)
+    index = keyed.unionByName(cells(held.where("year is null and org is not null"), any_year, any_year))
     lone_met = lone.select(F.col("profile").alias("a"), "word", "cell").join(index.select(F.col("profile").alias("b"), F.col("word").alias("other"), "cell"), "cell").where("a <> b").where(alike)
     lone_met = lone_met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # profiles without year and organisation are few: their words are looked up in all words

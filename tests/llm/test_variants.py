@@ -78,3 +78,9 @@ def test_profiles_lacking_year_or_organisation_meet(spark):
         (1, "Tomas Drekevmont", None, 2007, "PG"), (2, "Tomas Drekevmont", "Ashmoor", None, "PG"), (3, "Tomas Drekevmont", "Ashmoor", 2008, "PG"),
         (4, "Pavel Quostutby", None, 2010, "C"), (5, "Pavel Quostutby", "Holcombe", 2009, "C"), (6, "Omari Fabbervell", None, 2011, "SF"), (7, "Omari Fabbervell", None, 2012, "SF"), (8, "Lars Holertsky", "Ashmoor", None, None), (9, "Lars Holertsky", None, 2004, None),
     ])
+
+
+def test_common_words_are_keys_on_both_sides(spark):
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    others = [(100 + i, f"{(syllables[i] + syllables[(7 * i + 3) % 70] + syllables[(11 * i + 5) % 70]).title()} Smith", chr(97 + i % 26) * 6 + chr(97 + i // 26) * 6, 1900 + 3 * (i % 30), "C") for i in range(60)]
+    _against_brute_force(spark, [(1, "Z. Smith", "Ashmoor", 2007, "PG"), (2, "Zoltan Smith", "Ashmoor", 2007, "PG"), (3, "Q. Smyth", "Holcombe", 2011, "PG"), (4, "Quentin Smith", None, 2011, "PG"), *others])
