@@ -7,12 +7,12 @@ collision curve so that words of a given similarity meet with a given recall.  P
 where a band of a word and something else agrees (an end of the organisation, or the year and
 another word's initial), which keeps the number of meetings near that of the rows however full
 the space of names gets.  Profiles that lack one of the two also look up the years next to
-theirs and, by the initial alone, those that lack the other.  Words that many profiles have
-meet, with all words like them, only where an initial agrees besides the year or organisation.  Pairs are verified by Monge-Elkan similarity of the names and by
+theirs and, by the initial alone, those that lack the other.  Words that many profiles have,
+and short ones, meet, with all words like them, only where an initial agrees besides the year or organisation.  Pairs are verified by Monge-Elkan similarity of the names and by
 their attributes, and links become stars around the best connected profiles.
 
 Only words and narrow keys move; no list of a bucket is ever gathered.  Defined results: a
-name without letters links to nothing; a text of more than MOST_WORDS words is no name and is
+name without letters links to nothing; a name of single letters is compared with its like only; a text of more than MOST_WORDS words is no name and is
 linked to equal texts only; null attributes neither speak for nor against; equal
 rows are one profile and always linked; an empty table gives an empty result.
 """
@@ -154,6 +154,16 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(letters(a) <= letters(b), monge_elkan(a, b)).otherwise(monge_elkan(b, a))
 
 
+def unlike_words(a: Column, b: Column) -> Column:
+    """Whether each name has a word of three letters or more unlike all such words of the other.
+
+    Else one initial could stand for several words, or a middle initial for another surname.
+    """
+    full = lambda x: F.filter(x, lambda w: F.length(w) >= 3)
+    alone = lambda x, y: F.exists(full(x), lambda w: ~F.exists(full(y), lambda v: word_similarity(w, v) >= 0.45))
+    return alone(a, b) & alone(b, a)
+
+
 def org_agreement(a: Column, b: Column) -> Column:
     """2 for like organisations, -3 for others, 0 where one is unknown.
 
@@ -191,18 +201,21 @@ def profiles(rows: DataFrame) -> DataFrame:
 
 
 def _held(distinct: DataFrame) -> DataFrame:
-    """(profile, word, org, year, other initials, narrow, wide) of each word of four letters or more.
+    """(profile, word, org, year, other initials, narrow, wide) of each word of two letters or more.
 
-    ``narrow``: more than a thousandth of all profiles have the word (given names), so it tells
-    apart only together with more; ``wide``: the word is rare, or its profile has no rare one.
+    ``narrow``: the word has less than four letters or more than a thousandth of all profiles
+    (given names), so it tells apart only together with more; ``wide``: the word is not narrow, or
+    its profile has narrow ones only.  A name of single letters is held as one word.
     """
-    words = distinct.select("profile", "org", "year", "words", F.posexplode("words").alias("at", "word")).where("length(word) >= 4")
+    words = distinct.select("profile", "org", "year", "words", F.posexplode("words").alias("at", "word")).where("length(word) >= 2")
     initials = F.transform(F.col("words"), lambda w: F.substring(w, 1, 1))
     others = F.array_distinct(F.filter(initials, lambda x, i: i != F.col("at")))
     words = words.select("profile", "word", "org", "year", F.when(F.size(others) > 0, others).otherwise(F.array(F.lit(""))).alias("initials"))
+    letters = distinct.where(~F.exists("words", lambda w: F.length(w) >= 2)).select("profile", F.array_join("words", "").alias("word"), "org", "year", F.array(F.lit("")).alias("initials"))
+    words = words.unionByName(letters)
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     limit = max(20.0, distinct.count() / 1000)
-    words = words.join(counts, "word").withColumn("narrow", F.col("n") > limit).drop("n")
+    words = words.join(counts, "word").withColumn("narrow", (F.col("n") > limit) | (F.length("word") < 4)).drop("n")
     rarest = words.groupBy("profile").agg(F.min("narrow").alias("all_narrow"))
     return cut_lineage(words.join(rarest, "profile").withColumn("wide", F.expr("not narrow or all_narrow")).drop("all_narrow"))
 
@@ -255,6 +268,7 @@ def verified_links(distinct: DataFrame, least_name: float = 0.8, least_score: fl
     met = candidate_pairs(distinct).join(x, F.col("a") == F.col("profile_a")).join(y, F.col("b") == F.col("profile_b"))
     other = org_agreement(F.col("org_a"), F.col("org_b")) + year_agreement(F.col("year_a"), F.col("year_b")) + position_agreement(F.col("position_a"), F.col("position_b"))
     met = met.withColumn("other", other).where("other > -1.0").withColumn("name", name_similarity(F.col("words_a"), F.col("words_b")))
+    met = met.where(~unlike_words(F.col("words_a"), F.col("words_b")))
     # more typos pass where organisation and year both agree
     met = met.where(F.col("name") >= F.when(F.col("other") >= 3.0, least_name - 0.08).otherwise(least_name))
     exact = F.when(F.col("words_a") == F.col("words_b"), 1.0).when(F.least("full_a", "full_b") >= 2, 0.5).otherwise(0.0)

@@ -84,3 +84,8 @@ def test_common_words_are_keys_on_both_sides(spark):
     syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
     others = [(100 + i, f"{(syllables[i] + syllables[(7 * i + 3) % 70] + syllables[(11 * i + 5) % 70]).title()} Smith", chr(97 + i % 26) * 6 + chr(97 + i // 26) * 6, 1900 + 3 * (i % 30), "C") for i in range(60)]
     _against_brute_force(spark, [(1, "Z. Smith", "Ashmoor", 2007, "PG"), (2, "Zoltan Smith", "Ashmoor", 2007, "PG"), (3, "Q. Smyth", "Holcombe", 2011, "PG"), (4, "Quentin Smith", None, 2011, "PG"), *others])
+
+
+def test_names_of_short_words_meet(spark):
+    _against_brute_force(spark, [(1, "Yao Li", "Ashmoor", 2007, "PG"), (2, "Yao Li", "Ashmoor", 2007, "C"), (3, "Yao Lian", "Ashmoor", 2007, "PG"), (4, "Kim Lee", "Holcombe", 2011, "SF"), (5, "Kim Leee", "Holcombe", 2011, None), (6, "Bo Lu", None, 2010, "C"), (7, "Lu, Bo", "Kesbrook", None, "C")])
+    _against_brute_force(spark, [(1, "B. J.", "Ashmoor", 2007, "PG"), (2, "BJ", "Ashmoor", 2007, "PG"), (3, "J B", "Ashmoor", 2007, "C")])
