@@ -24,8 +24,8 @@ def as_column(c: Column | str) -> Column:
 
 def clean_id(c: Column | str) -> Column:
     """Trimmed text without a trailing ``.0``; missing spellings become null."""
-    text = F.regexp_replace(as_column(c).cast("string"), r"^\s+|\s+$", "")
-    text = F.regexp_replace(text, r"\.0$", "")
+    text = F.btrim(as_column(c).cast("string"), F.lit(" \t\n\x0b\f\r"))
+    text = F.when(F.endswith(text, F.lit(".0")), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
     return F.when(~F.lower(text).isin(*MISSING_TOKENS), text)
 
 
