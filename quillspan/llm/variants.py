@@ -1,17 +1,26 @@
 """Variant spellings of names: MinHash banding, Monge-Elkan verification, star clustering.
 
-Rows are collapsed to profiles (words of the name, organisation, year, position).  The
-distinct name words are banded by weighted MinHash over padded q-grams, the weights being the
-q-grams' rarity in the vocabulary; rows per band and number of bands are taken from the
-collision curve so that words of a given similarity meet with a given recall.  Profiles meet
-where a band of a word and something else agrees (an end of the organisation, or the year and
-another word's initial), which keeps the number of meetings near that of the rows however full
-the space of names gets.  Profiles that lack one of the two also look up the years next to
-theirs and, by the initial alone, those that lack the other.  Words that many profiles have,
-and short ones, meet, with all words like them, only where an initial agrees besides the year or organisation.  Pairs are verified by Monge-Elkan similarity of the names and by
-their attributes, and links become stars around the best connected profiles.
-
-Only words and narrow keys move; no list of a bucket is ever gathered.  Defined results: a
+Rows are collapsed to profiles (words of the name, organisation, year, position).  A distinct
+word is a set of padded q-grams, weighed by their rarity in all words, and gets
+bands of a weighted MinHash; rows per band and the number of bands are taken from the
+collision curve, so that words of a given similarity meet with a given recall.  A key of a
+profile is a band of a word with the initial of another, so each full word of a name is a chance to
+meet and an abbreviated one costs none.
+
+Verification refuses pairs whose organisations are both known and unlike, and pairs without a
+common organisation whose years are both known and more than one apart.  So a band only has to be compared
+where one of these holds, and these cells lose nothing that verification would accept:
+
+* both organisations known: inside one organisation or one that agrees with it (the relation of
+  organisations is found among their distinct names);
+* an organisation missing: inside the same year and those next to it;
+* an organisation and a year missing: over all names.
+
+No word is too short, too long or too common to be a key, and nothing depends on the number of rows.
+Pairs are verified by Monge-Elkan similarity of the names and by their attributes, and links
+become stars around the best connected profiles.
+
+Only bands and narrow keys move; no list of a bucket is ever gathered.  Defined results: a
 name without letters links to nothing; a name of single letters is compared with its like only; a text of more than MOST_WORDS words is no name and is
 linked to equal texts only; null attributes neither speak for nor against; equal
 rows are one profile and always linked; an empty table gives an empty result.
@@ -21,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -65,10 +75,11 @@ def name_words(name: Column) -> Column:
 
 
 def org_core(name: Column) -> Column:
-    """Words of an organisation without those that all share; null when none is left."""
+    """Words of an organisation without those that all share; null when none is left, or more than
+    MOST_WORDS (no name of an organisation)."""
     text = F.regexp_replace(F.lower(fold_accents(name)), r"[^\p{L}\p{N}]+", " ")
     words = F.filter(F.split(F.trim(text), " "), lambda w: (w != "") & ~w.isin(*ORG_WORDS))
-    return F.nullif(F.array_join(words, " "), F.lit(""))
+    return F.when(F.size(words) <= MOST_WORDS, F.nullif(F.array_join(words, " "), F.lit("")))
 
 
 def tune_bands(similarity: float, recall: float, crowd: float = 0.15, max_hashes: int = 90) -> tuple[int, int]:
@@ -86,43 +97,53 @@ def tune_bands(similarity: float, recall: float, crowd: float = 0.15, max_hashes
     return best[1], best[2]
 
 
-def _grams(word: str, q: int) -> list[str]:
-    padded = "\x02" * (q - 1) + word + "\x03" * (q - 1)
-    return [padded[i : i + q] for i in range(len(padded) - q + 1)]
+def _gram_hashes(text: Column, q: int) -> Column:
+    """Hashes of the distinct padded q-grams of a text's words."""
 
+    def of(word: Column) -> Column:
+        padded = F.concat(F.lit("\x02" * (q - 1)), word, F.lit("\x03" * (q - 1)))
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.xxhash64(F.substring(padded, i, F.lit(q))))
 
-def word_bands(words: DataFrame, q: int = 2, similarity: float = 0.5, recall: float = 0.96, seed: int = 5) -> DataFrame:
-    """(word, band) by weighted MinHash; ``words``: (word) without repeats."""
-    rows, bands = tune_bands(similarity, recall)
-    padded = F.concat(F.lit("\x02" * (q - 1)), "word", F.lit("\x03" * (q - 1)))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substring(padded, i, F.lit(q)))
-    counts = words.select(F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    total = words.count()
-    # the table of q-grams is bounded by the alphabet to the power q
-    rarity = {r["gram"]: math.log(1 + total / r["n"]) for r in counts.collect()}
-    shared = words.sparkSession.sparkContext.broadcast(rarity)
+    return F.array_distinct(F.flatten(F.transform(F.split(text, " "), of)))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def text_bands(texts: DataFrame, similarity: float = 0.55, recall: float = 0.95, q: int = 2, seed: int = 5, cells: int = 1 << 16, max_hashes: int = 90) -> DataFrame:
+    """(text, bands) by weighted MinHash; ``texts``: (text) without repeats, none of them empty.
+
+    A q-gram's weight is its rarity.  Counts are kept in ``cells`` cells of q-grams' hashes, so
+    what is sent to the tasks has that size whatever the alphabet.
+    """
+    rows, bands = tune_bands(similarity, recall, max_hashes=max_hashes)
+    hashed = cut_lineage(texts.select("text", _gram_hashes(F.col("text"), q).alias("grams")))
+    counts = hashed.select(F.explode("grams").alias("g")).groupBy(F.pmod("g", F.lit(cells)).alias("cell")).agg(F.count("*").alias("n")).collect()
+    total = max(1, hashed.count())
+    rarity = np.full(cells, math.log(1 + total))
+    for r in counts:  # at most ``cells`` rows
+        rarity[r["cell"]] = math.log(1 + total / r["n"])
+    shared = texts.sparkSession.sparkContext.broadcast(rarity)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = shared.value
-        names = {g: i for i, g in enumerate(sorted(weights))}
-        rng = np.random.default_rng(seed)
-        draws = -np.log(rng.random((len(names), rows * bands), dtype=np.float64)) / np.array([weights[g] for g in sorted(weights)])[:, None]
-        salt = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        weights, salts = shared.value, np.random.default_rng(seed).integers(1, 2**63, rows * bands).astype(np.uint64)
         for batch in batches:
-            out_words, out = [], []
-            for word in batch["word"]:
-                ids = np.array(sorted({names[g] for g in _grams(word, q)}))
-                least = ids[draws[ids].argmin(axis=0)].astype(np.uint64).reshape(bands, rows)
-                key = salt.copy()
-                for k in range(rows):
-                    key = (key ^ least[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
-                    key ^= key >> np.uint64(29)
-                out.append(key.view(np.int64))
-                out_words.append(word)
-            if out:
-                yield pd.DataFrame({"word": np.repeat(out_words, bands), "band": np.concatenate(out)})
-
-    return words.mapInPandas(sign, "word string, band long")
+            if not len(batch):
+                continue
+            lists = batch["grams"].tolist()
+            flat = np.concatenate(lists).astype(np.int64)
+            starts = np.cumsum([0, *[len(x) for x in lists[:-1]]])
+            scale, h = -1.0 / weights[flat % cells], flat.view(np.uint64)
+            key = np.repeat(salts[::rows][:, None], len(lists), axis=1)
+            for k, salt in enumerate(salts):
+                # exponential draws: the least is each q-gram's in proportion to its weight
+                draw = np.log(((_mix(h ^ salt) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) * scale
+                key[k // rows] = _mix(key[k // rows] ^ np.minimum.reduceat(draw, starts).view(np.uint64))
+            yield pd.DataFrame({"text": batch["text"], "bands": list(np.ascontiguousarray(key.T).view(np.int64))})
+
+    return hashed.mapInPandas(sign, "text string, bands array<long>")
 
 
 def word_similarity(a: Column, b: Column) -> Column:
@@ -151,17 +172,20 @@ def monge_elkan(a: Column, b: Column) -> Column:
 def name_similarity(a: Column, b: Column) -> Column:
     """Monge-Elkan of the name with fewer letters against the other."""
     letters = lambda x: F.length(F.array_join(x, ""))
-    return F.when(letters(a) <= letters(b), monge_elkan(a, b)).otherwise(monge_elkan(b, a))
+    return F.when(a == b, 1.0).when(letters(a) <= letters(b), monge_elkan(a, b)).otherwise(monge_elkan(b, a))
 
 
 def unlike_words(a: Column, b: Column) -> Column:
-    """Whether each name has a word of three letters or more unlike all such words of the other.
+    """Whether more words (of three letters or more) are unlike all of the other name's than the
+    difference of their numbers explains.
 
-    Else one initial could stand for several words, or a middle initial for another surname.
+    Else one initial could stand for several words, a middle initial for another surname, or two
+    like words of one name for one word of the other.
     """
     full = lambda x: F.filter(x, lambda w: F.length(w) >= 3)
-    alone = lambda x, y: F.exists(full(x), lambda w: ~F.exists(full(y), lambda v: word_similarity(w, v) >= 0.45))
-    return alone(a, b) & alone(b, a)
+    alone = lambda x, y: F.size(F.filter(full(x), lambda w: ~F.exists(full(y), lambda v: word_similarity(w, v) >= 0.6)))
+    more = lambda x, y: F.greatest(F.lit(0), F.size(full(x)) - F.size(full(y)))
+    return (alone(a, b) > more(a, b)) | (alone(b, a) > more(b, a))
 
 
 def org_agreement(a: Column, b: Column) -> Column:
@@ -176,7 +200,39 @@ def org_agreement(a: Column, b: Column) -> Column:
     letters = lambda t: F.array_sort(F.split(t, ""))
     like = (edits <= F.greatest(F.lit(1), F.floor(F.least(F.length(x), F.length(y)) / 6))) | (edits == 2) & (letters(x) == letters(y))
     begins = F.concat(a, F.lit(" ")).startswith(F.concat(b, F.lit(" "))) | F.concat(b, F.lit(" ")).startswith(F.concat(a, F.lit(" ")))
-    return F.when(a.isNull() | b.isNull(), 0.0).when(begins, 2.0).when(like, 2.0).otherwise(-3.0)
+    return F.when(a.isNull() | b.isNull(), 0.0).when(a == b, 2.0).when(begins, 2.0).when(like, 2.0).otherwise(-3.0)
+
+
+
+
+def _no_keys() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def one_less(text: Column) -> Column:
+    """Hashes of the text and of its forms with one letter less."""
+    return F.transform(F.sequence(F.lit(0), F.length(text)), lambda i: F.xxhash64(F.concat(F.substring(text, F.lit(1), i), F.substring(text, i + 2, F.length(text)))))
+
+
+def org_relation(orgs: DataFrame, others: DataFrame) -> DataFrame:
+    """(org, other) of organisations that agree, found among their distinct names.
+
+    ``orgs``: (org), ``others``: (other), without repeats or nulls.  What agrees is the beginning of one
+    with as many words as the other has.  Beginnings one edit or one swap of neighbours apart share
+    a form with one letter less, beginnings of the same letters share these, and two edits pass in
+    long beginnings only, whose bands meet.
+    """
+    heads = lambda df, c: df.select(c, F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split(c, " "))), lambda i: F.array_join(F.slice(F.split(c, " "), 1, i), " "))).alias("text"))
+    left, right = heads(orgs, "org"), heads(others, "other")
+    texts = cut_lineage(left.select("text").union(right.select("text")).distinct())
+    bands = text_bands(texts.where("length(text) >= 12"), 0.55, 0.95)
+    letters = F.array(F.xxhash64(F.lit("letters"), F.array_join(F.array_sort(F.split("text", "")), "")))
+    bands = texts.join(bands, "text", "left").select("text", F.array_distinct(F.concat(F.coalesce("bands", _no_keys()), one_less(F.col("text")), letters)).alias("bands"))
+    bands = cut_lineage(bands)
+    keyed = lambda df, c: df.join(bands, "text").select(c, (F.col(c) == F.col("text")).alias(f"whole_{c}"), F.explode("bands").alias("band"))
+    # one of the two is compared as a whole
+    met = cut_lineage(keyed(left, "org").join(keyed(right, "other"), "band").where("whole_org or whole_other").select("org", "other").distinct())
+    return cut_lineage(met.where(org_agreement(F.col("org"), F.col("other")) > 0))
 
 
 def year_agreement(a: Column, b: Column) -> Column:
@@ -200,63 +256,49 @@ def profiles(rows: DataFrame) -> DataFrame:
     return cut_lineage(made.join(least, "key").select("name_id", "profile", "words", "org", "year", "position"))
 
 
-def _held(distinct: DataFrame) -> DataFrame:
-    """(profile, word, org, year, other initials, narrow, wide) of each word of two letters or more.
+def _keyed(distinct: DataFrame) -> DataFrame:
+    """(profile, org, year, keys) of each word of two letters or more.
 
-    ``narrow``: the word has less than four letters or more than a thousandth of all profiles
-    (given names), so it tells apart only together with more; ``wide``: the word is not narrow, or
-    its profile has narrow ones only.  A name of single letters is held as one word.
+    A key is a band of the word with an initial of another word (none in a name of one word).
+    A name of single letters is keyed as one word.
     """
-    words = distinct.select("profile", "org", "year", "words", F.posexplode("words").alias("at", "word")).where("length(word) >= 2")
-    initials = F.transform(F.col("words"), lambda w: F.substring(w, 1, 1))
-    others = F.array_distinct(F.filter(initials, lambda x, i: i != F.col("at")))
-    words = words.select("profile", "word", "org", "year", F.when(F.size(others) > 0, others).otherwise(F.array(F.lit(""))).alias("initials"))
-    letters = distinct.where(~F.exists("words", lambda w: F.length(w) >= 2)).select("profile", F.array_join("words", "").alias("word"), "org", "year", F.array(F.lit("")).alias("initials"))
+    words = distinct.select("profile", "org", "year", "words", F.posexplode("words").alias("at", "text")).where("length(text) >= 2")
+    others = F.array_distinct(F.filter(F.transform("words", lambda w: F.substring(w, 1, 1)), lambda x, i: i != F.col("at")))
+    words = words.select("profile", "org", "year", "text", F.when(F.size(others) > 0, others).otherwise(F.array(F.lit(""))).alias("initials"))
+    letters = distinct.where(~F.exists("words", lambda w: F.length(w) >= 2)).select("profile", "org", "year", F.array_join("words", "").alias("text"), F.array(F.lit("")).alias("initials"))
     words = words.unionByName(letters)
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    limit = max(20.0, distinct.count() / 1000)
-    words = words.join(counts, "word").withColumn("narrow", (F.col("n") > limit) | (F.length("word") < 4)).drop("n")
-    rarest = words.groupBy("profile").agg(F.min("narrow").alias("all_narrow"))
-    return cut_lineage(words.join(rarest, "profile").withColumn("wide", F.expr("not narrow or all_narrow")).drop("all_narrow"))
-
-
-def candidate_pairs(distinct: DataFrame, least: float = 0.6) -> DataFrame:
-    """(a, b), a < b, of profiles with a like word that may agree in more."""
-    held = _held(distinct)
-    bands = cut_lineage(word_bands(held.select("word").distinct()))
-    compact = F.replace(F.col("org"), F.lit(" "), F.lit(""))
-    in_year = lambda y: F.transform("initials", lambda i: F.concat(F.lit("y"), y, i))
-    by_year = F.when(F.col("year").isNotNull(), in_year(F.col("year")))
-    by_org = F.when(F.col("org").isNotNull(), F.array_distinct(F.array(F.concat(F.lit("o"), F.substring(compact, 1, 4)), F.concat(F.lit("e"), F.substring(compact, -4, 4)))))
-    with_initial = F.flatten(F.transform(by_org, lambda o: F.transform("initials", lambda i: F.concat(o, F.lit("/"), i))))
-    keys, narrow_keys = (F.concat(*[F.coalesce(k, F.array().cast("array<string>")) for k in (by_year, o)]) for o in (by_org, with_initial))
-    alike = 1.0 - F.levenshtein("word", "other") / F.greatest(F.length("word"), F.length("other")) >= least
-    # a narrow word, and every word like it, meet under that word's own code
-    own = held.where("narrow").select("word").distinct().join(bands, "word").join(bands.withColumnRenamed("word", "other"), "band")
-    own = cut_lineage(own.select("word", "other").distinct().where(alike).select(F.col("other").alias("word"), F.xxhash64(F.lit("own"), "word").alias("band")))
-
-    def cells(rows: DataFrame, keys: Column, narrow_keys: Column) -> DataFrame:
-        wide = rows.where("wide").select("profile", "word", F.explode(keys).alias("key")).join(bands, "word")
-        narrow = rows.select("profile", "word", F.explode(narrow_keys).alias("key")).join(own, "word")
-        return wide.unionByName(narrow).select("profile", "word", F.xxhash64("band", "key").alias("cell"))
-
-    keyed = cells(held, keys, narrow_keys)
-    met = keyed.select(F.col("profile").alias("a"), "word", "cell").join(keyed.select(F.col("profile").alias("b"), F.col("word").alias("other"), "cell"), "cell").where("a < b").where(alike)
-    # without an organisation the years next to one's own are looked up too, and the initials
-    # of those that have only an organisation
-    any_year = F.transform("initials", lambda i: F.concat(F.lit("n"), i))
-    sought = F.concat(in_year(F.col("year") - 1), in_year(F.col("year") + 1), any_year)
-    lone = cells(held.where("org is null and year is not null"), sought, sought)
-    index = keyed.unionByName(cells(held.where("year is null and org is not null"), any_year, any_year))
-    lone_met = lone.select(F.col("profile").alias("a"), "word", "cell").join(index.select(F.col("profile").alias("b"), F.col("word").alias("other"), "cell"), "cell").where("a <> b").where(alike)
-    lone_met = lone_met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # profiles without year and organisation are few: their words are looked up in all words
-    bare = held.where("year is null and org is null").select(F.col("profile").alias("a"), "word", F.explode("initials").alias("i"))
-    mine = bare.select("word").distinct().join(bands, "word")
-    near = mine.join(bands.withColumnRenamed("word", "other"), "band").select("word", "other").distinct().where(alike)
-    bare_met = bare.join(near, "word").join(held.select(F.col("profile").alias("b"), F.col("word").alias("other"), F.explode("initials").alias("i")), ["other", "i"]).where("a <> b")
-    bare_met = bare_met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return met.select("a", "b").unionByName(lone_met).unionByName(bare_met).distinct()
+    texts = cut_lineage(words.select("text").distinct())
+    # two words are two chances, hence less recall for each; short words have few q-grams: those one edit
+    # apart share a form with one letter less
+    bands = texts.join(text_bands(texts.where("length(text) >= 6"), 0.6, 0.85, max_hashes=30), "text", "left")
+    bands = bands.select("text", F.concat(F.coalesce("bands", _no_keys()), F.when(F.length("text") <= 7, one_less(F.col("text"))).otherwise(_no_keys())).alias("bands"))
+    keys = F.array_distinct(F.flatten(F.transform("initials", lambda i: F.transform("bands", lambda b: F.xxhash64(b, i)))))
+    return cut_lineage(words.join(bands, "text").select("profile", "org", "year", keys.alias("bands")))
+
+
+def candidate_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b, of profiles with a like word whose organisation or year may agree."""
+    held = _keyed(distinct)
+    orgs = held.where("org is not null").select("org").distinct()
+    related = org_relation(orgs, orgs.withColumnRenamed("org", "other")).where("org < other")
+
+    def cells(rows: DataFrame, kind: str, within: Column | None = None, own: bool = False) -> DataFrame:
+        where = [F.lit(kind)] if within is None else [F.lit(kind), within]
+        return rows.select("profile", F.explode("bands").alias("band"), F.struct(*where).alias("w")).select("profile", F.xxhash64("w", "band").alias("cell"), F.lit(own).alias("own"))
+
+    placed, dated = held.where("org is not null"), held.where("year is not null")
+    lone, bare = held.where("org is null and year is not null"), held.where("org is null and year is null")
+    near = lone.withColumn("year", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
+    index = [cells(placed, "org", F.col("org")), cells(dated, "year", F.col("year")), cells(held, "all"), cells(held.where("year is null and org is not null"), "undated")]
+    seek = [cells(placed, "org", F.col("org"), own=True), cells(held.join(related, "org"), "org", F.col("other")), cells(near, "year", F.col("year")), cells(bare, "all"), cells(lone, "undated")]
+    index, seek = reduce(DataFrame.unionByName, index), reduce(DataFrame.unionByName, seek)
+    met = seek.withColumnRenamed("profile", "a").join(index.select("cell", F.col("profile").alias("b")), "cell").where("a < b or not own and a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, however many filters use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
 def verified_links(distinct: DataFrame, least_name: float = 0.8, least_score: float = 0.9) -> DataFrame:
@@ -267,13 +309,13 @@ def verified_links(distinct: DataFrame, least_name: float = 0.8, least_score: fl
     y = p.select(*[F.col(c).alias(f"{c}_b") for c in p.columns], full.alias("full_b"))
     met = candidate_pairs(distinct).join(x, F.col("a") == F.col("profile_a")).join(y, F.col("b") == F.col("profile_b"))
     other = org_agreement(F.col("org_a"), F.col("org_b")) + year_agreement(F.col("year_a"), F.col("year_b")) + position_agreement(F.col("position_a"), F.col("position_b"))
-    met = met.withColumn("other", other).where("other > -1.0").withColumn("name", name_similarity(F.col("words_a"), F.col("words_b")))
-    met = met.where(~unlike_words(F.col("words_a"), F.col("words_b")))
+    met = once(met, other=other).where("other > -1.0")
+    met = once(met, name=name_similarity(F.col("words_a"), F.col("words_b")))
     # more typos pass where organisation and year both agree
     met = met.where(F.col("name") >= F.when(F.col("other") >= 3.0, least_name - 0.08).otherwise(least_name))
     exact = F.when(F.col("words_a") == F.col("words_b"), 1.0).when(F.least("full_a", "full_b") >= 2, 0.5).otherwise(0.0)
-    scored = met.withColumn("score", F.col("other") + exact + 5 * (F.col("name") - 0.9))
-    return scored.where(F.col("score") >= least_score).select("a", "b", "score")
+    scored = once(met, score=F.col("other") + exact + 5 * (F.col("name") - 0.9)).where(F.col("score") >= least_score)
+    return scored.where(~unlike_words(F.col("words_a"), F.col("words_b"))).select("a", "b", "score")
 
 
 def star_clusters(links: DataFrame, max_rounds: int = 100) -> DataFrame:

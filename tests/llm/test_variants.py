@@ -3,8 +3,11 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from conftest import DATA
+
 from quillspan.llm import variants
-from quillspan.llm.variants import _grams, name_similarity, name_words, org_core, star_clusters, tune_bands, variant_pairs, word_bands
+from quillspan.llm.queries import _typed_names
+from quillspan.llm.variants import name_similarity, name_words, org_agreement, org_core, org_relation, star_clusters, text_bands, tune_bands, variant_pairs
 
 SCHEMA = "name_id long, name string, organization string, year int, position string"
 
@@ -15,17 +18,52 @@ def test_bands_follow_the_collision_curve():
     assert 1 - (1 - 0.1**rows) ** bands < 0.05
 
 
+def _grams(word, q=2):
+    padded = "\x02" * (q - 1) + word + "\x03" * (q - 1)
+    return [padded[i : i + q] for i in range(len(padded) - q + 1)]
+
+
 def test_banding_recall_against_brute_force(spark):
     rnd = random.Random(7)
     base = ["".join(rnd.choice("bcdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(3, 5))) for _ in range(250)]
     words = sorted({*base, *[w[:2] + rnd.choice("aeiou") + w[2:] for w in base], *[w[:-1] for w in base]})
-    bands = word_bands(spark.createDataFrame([(w,) for w in words], "word string"))
-    met = {(r[0], r[1]) for r in bands.alias("x").join(bands.alias("y"), "band").where("x.word < y.word").select("x.word", "y.word").distinct().collect()}
-    grams = {w: set(_grams(w, 2)) for w in words}
+    bands = text_bands(spark.createDataFrame([(w,) for w in words], "text string"), 0.6, 0.9).select("text", F.explode("bands").alias("band"))
+    met = {(r[0], r[1]) for r in bands.alias("x").join(bands.alias("y"), "band").where("x.text < y.text").select("x.text", "y.text").distinct().collect()}
+    grams = {w: set(_grams(w)) for w in words}
     near = {(a, b) for a in words for b in words if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.6}
     assert len(near & met) / len(near) >= 0.9
 
 
+def test_relation_of_organisations_against_brute_force(spark):
+    rnd = random.Random(3)
+    syll = lambda n: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(n))
+    base = [" ".join(syll(rnd.randint(1, 5)) for _ in range(rnd.randint(1, 3))) for _ in range(120)]
+    typed = []
+    for o in base:
+        i, j = rnd.randrange(len(o)), rnd.randrange(len(o))
+        typed += [o[:i] + o[i + 1 :], o[:i] + rnd.choice("xyz") + o[i:], o[:i] + o[i : i + 2][::-1] + o[i + 2 :], o.split()[0], o + " " + syll(3), "".join(sorted([*o[:1], *o[1:]], key=lambda c: (c == o[j], c)))]
+    orgs = sorted({" ".join(o.split()) for o in base + typed} - {""})
+    df = spark.createDataFrame([(o,) for o in orgs], "org string")
+    every = df.crossJoin(df.withColumnRenamed("org", "other"))
+    want = {tuple(r) for r in every.where(org_agreement(F.col("org"), F.col("other")) > 0).collect()}
+    got = {tuple(r) for r in org_relation(df, df.withColumnRenamed("org", "other")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_pair_recall_against_brute_force(spark):
+    """Links among all pairs of a table's profiles that the keys find."""
+    rows = variants.profiles(_typed_names(spark, str(DATA / "sf0.01")))
+    distinct = rows.where("name_id = profile and size(words) > 0").drop("name_id")
+    kept = variants.candidate_pairs
+    try:
+        variants.candidate_pairs = lambda d: d.select(F.col("profile").alias("a")).crossJoin(d.select(F.col("profile").alias("b"))).where("a < b")
+        want = {(r["a"], r["b"]) for r in variants.verified_links(distinct).collect()}
+    finally:
+        variants.candidate_pairs = kept
+    got = {(r["a"], r["b"]) for r in variants.verified_links(distinct).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_words_and_similarity(spark):
     names = ["Müller-Lüdenscheid, Bob Jr.", 'Robert "Bobby" Muller Ludenscheid III', "R. K. Muller", "", None, "123", "Al0ha Sm1th"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(name_words(F.col("n")).alias("w"))
@@ -88,4 +126,5 @@ def test_common_words_are_keys_on_both_sides(spark):
 
 def test_names_of_short_words_meet(spark):
     _against_brute_force(spark, [(1, "Yao Li", "Ashmoor", 2007, "PG"), (2, "Yao Li", "Ashmoor", 2007, "C"), (3, "Yao Lian", "Ashmoor", 2007, "PG"), (4, "Kim Lee", "Holcombe", 2011, "SF"), (5, "Kim Leee", "Holcombe", 2011, None), (6, "Bo Lu", None, 2010, "C"), (7, "Lu, Bo", "Kesbrook", None, "C")])
+    _against_brute_force(spark, [(1, "Yao Sun", "Ashmoor", 2007, "PG"), (2, "Sun, Yao", "Ashmoor", 2007, "C"), (3, "Bo Li", "Holcombe", 2011, "PG"), (4, "Bo Lee", "Holcombe", 2011, "PG"), (5, "Li, Bo", "Holcombe", 2011, None), (6, "Ana Vu", "Margate", None, None), (7, "Ana Vu", None, 2003, None)])
     _against_brute_force(spark, [(1, "B. J.", "Ashmoor", 2007, "PG"), (2, "BJ", "Ashmoor", 2007, "PG"), (3, "J B", "Ashmoor", 2007, "C")])
