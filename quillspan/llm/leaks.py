@@ -1,17 +1,19 @@
-"""Evaluation passages inside training texts, by size-partitioned MinHash containment.
+"""Evaluation passages inside training texts, by MinHash containment of windows.
 
 A leak is a run of ``run`` words in order, so an item is searched by all its windows of that
 size and a document is partitioned into its windows of the same size.  Each window is a set of
-``run - shingle + 1`` shingles of ``shingle`` words, and its signature is the minimum of their
-hashes.  Sets of one size that are equal have equal minima, so no leak can be missed, and as
-neighbouring windows mostly share their minimum a document keeps few fingerprints.  A shared
+``run - shingle + 1`` shingles of ``shingle`` words, and its signature is a band of ``rows`` minima
+under as many hashes of its shingles.  Sets that are equal have equal minima, so no leak can be missed; several
+minima keep a phrase that many texts share from making candidates of them all; and as
+neighbouring windows mostly share their minima a document keeps few fingerprints.  A shared
 fingerprint makes a candidate; the exact containment of a run of words decides.
 
-Whole-document signatures would need containments of 13 words in tens of thousands, which no
-affordable number of hashes finds; partitioning by window size is what makes recall certain.
+Signatures of whole items, partitioned by size, cannot give this result: a leak may be 9 shingles of
+an item in a document of thousands (figures in the README).  Partitioning by window size is what makes recall certain.
 
 The items' fingerprints go to the tasks if their table is small (``max_item_bytes``, measured);
-otherwise fingerprints of both sides are joined by a shuffle.  Nulls and texts of fewer than
+otherwise fingerprints of both sides are joined by a shuffle, and each document's words are
+found once for all its candidates.  Nulls and texts of fewer than
 ``run`` words give no row; repeated texts each give their rows.
 """
 
@@ -59,8 +61,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def window_minima(hashes: np.ndarray, run: int, shingle: int) -> np.ndarray:
-    """MinHash of each window of ``run`` words over its shingles of ``shingle`` words."""
+def window_minima(hashes: np.ndarray, run: int, shingle: int, rows: int = 2) -> np.ndarray:
+    """MinHash band of each window of ``run`` words: ``rows`` minima over its shingles of ``shingle`` words."""
     n = len(hashes) - run + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -68,9 +70,11 @@ def window_minima(hashes: np.ndarray, run: int, shingle: int) -> np.ndarray:
     rolled = np.zeros(m, np.uint64)
     for k in range(shingle):
         rolled = rolled * _MULTIPLIER + hashes[k : k + m]
-    rolled = _mix(rolled)
-    width = run - shingle + 1
-    return np.lib.stride_tricks.sliding_window_view(rolled, width).min(axis=1)
+    width, band = run - shingle + 1, np.zeros(n, np.uint64)
+    for row in range(rows):
+        rolled = _mix(rolled + np.uint64(row + 1) * _MULTIPLIER)
+        band = _mix(band) + np.lib.stride_tricks.sliding_window_view(rolled, width).min(axis=1)
+    return band
 
 
 def _runs(words: list[str], run: int) -> set[str]:
@@ -121,11 +125,17 @@ def _joined(docs: DataFrame, items: DataFrame, run: int, shingle: int) -> DataFr
     pairs = _fingerprints(docs, "doc_id", run, shingle).join(_fingerprints(items, "item_id", run, shingle), "print").select("doc_id", "item_id").distinct()
     texts = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
 
-    @F.pandas_udf("boolean")
-    def contains(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([not _runs(words_of(x), run).isdisjoint(_runs(words_of(y), run)) for x, y in zip(a, b)])
-
-    return texts.where(contains("text", "item_text")).select("doc_id", "item_id")
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, mine = None, set()
+        for batch in batches:
+            kept = []
+            for doc, text, item in zip(batch["doc_id"], batch["text"], batch["item_text"]):
+                if doc != last:  # a document's candidates follow one another
+                    last, mine = doc, _runs(words_of(text), run)
+                kept.append(not mine.isdisjoint(_runs(words_of(item), run)))
+            yield batch.loc[kept, ["doc_id", "item_id"]]
+
+    return texts.sortWithinPartitions("doc_id").mapInPandas(verify, "doc_id long, item_id long")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, run: int = 13, shingle: int = 5, max_item_bytes: int = 16_000_000) -> DataFrame:

@@ -7,7 +7,8 @@ every constraint and leaves the smallest weighted residual norm (or has the larg
 dot product with the item).  Only a block's last containers are left partly empty, so the
 unused space is bounded by about one container a block.
 
-Defined results: a text above the capacity is cut into full pieces and a rest; an empty text
+Defined results: a text above the token capacity is cut into full pieces and a rest, no other text
+is cut; an item that alone exceeds the cost capacity has a container to itself; an empty text
 is an item of 0 tokens and gets a container; a null text gets no container; repeated rows are
 separate items; all is deterministic for given ids, so lost tasks are recomputed alike.
 """
@@ -19,22 +20,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.session import cut_lineage
 
+TOKENIZER_CONF = "spark.quillspan.tokenizer"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
-def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+def shipped_tokenizer(spark: SparkSession, path: str | None = None) -> str:
+    """Name under which the executors find the tokenizer's file; the driver's copy is sent to them."""
+    path = path or spark.conf.get(TOKENIZER_CONF, TOKENIZER)
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) under a public tokenizer's file; null text: null."""
+    name = shipped_tokenizer(docs.sparkSession, tokenizer)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(tokenizer)
+        made = Tokenizer.from_file(SparkFiles.get(name))
         made.encode_special_tokens = True
         made.no_truncation()
         for batch in batches:
@@ -61,6 +72,9 @@ def best_fit(sizes: np.ndarray, capacity: int, max_items: int, max_cost: float,
     for i, size in enumerate(sizes):
         item = np.array([size, 1.0, float(size) * size]) / cap
         pick = -1
+        if item[2] > 1.0:  # it exceeds the cost alone: a container of its own
+            out[i], n_all = n_all, n_all + 1
+            continue
         if n_open:
             rest = room[:, :n_open] - item[:, None]
             fits = (rest >= -1e-12).all(axis=0)
@@ -76,7 +90,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_items: int, max_cost: float,
         room[:, pick] -= item
         out[i] = open_ids[pick]
         # a container that not even the smallest later item fits into is closed
-        if i + 1 < len(sizes) and (room[0, pick] * capacity < smallest[i + 1] - 1e-9 or room[1, pick] * max_items < 1 - 1e-9):
+        if i + 1 < len(sizes) and (room[0, pick] * capacity < smallest[i + 1] - 1e-9 or room[1, pick] * max_items < 1 - 1e-9 or room[2, pick] * max_cost < float(smallest[i + 1]) ** 2 - 1e-6):
             n_open -= 1
             room[:, pick], open_ids[pick] = room[:, n_open], open_ids[n_open]
     return out
@@ -86,12 +100,12 @@ def pack(sizes: DataFrame, capacity: int = 2048, max_items: int = 1024, max_cost
     """(doc_id, piece, n_pieces, n_tokens, container) of every item.
 
     ``sizes``: (doc_id, n_tokens).  ``max_cost`` bounds the sum of squared lengths of a
-    container; by default it never binds.
+    container; without it only tokens and ``max_items`` can bind.
     """
     cost = float(capacity) ** 2 if max_cost is None else float(max_cost)
-    if cost < float(capacity) ** 2 and cost < 1:
-        raise ValueError("max_cost must admit one token")
-    piece = int(min(capacity, np.floor(np.sqrt(cost))))  # the largest item that fits every constraint
+    if capacity < 1 or max_items < 1 or cost <= 0:
+        raise ValueError("capacities must be positive")
+    piece = int(capacity)
     sizes = cut_lineage(sizes)
     total, count = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-int(total) // block_tokens), -(-int(count) // 100_000))

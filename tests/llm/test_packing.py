@@ -44,6 +44,30 @@ def test_attention_cost_binds(rule):
     assert np.bincount(found).max() == 5
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_three_capacities_bind(spark, rule):
+    """No container exceeds a capacity, nothing that fits the tokens is cut, and few more containers are made
+    than any packing needs."""
+    rnd = random.Random(2)
+    sizes = [(i, rnd.choice([3, 20, 60, 300, 700, 1010, 1400, 1900, 4100])) for i in range(3000)]
+    cost = 2048**2 / 2
+    rows = pack(spark.createDataFrame(sizes, "doc_id long, n_tokens long"), max_items=8, max_cost=cost, rule=rule, block_tokens=10_000_000).collect()
+    loads = list(_loads(rows).values())
+    assert all(sum(v) <= 2048 and len(v) <= 8 and (len(v) == 1 or sum(x * x for x in v) <= cost) for v in loads)
+    assert all(r["n_pieces"] == 1 for r in rows if dict(sizes)[r["doc_id"]] <= 2048)
+    assert any(len(v) == 8 for v in loads) and any(len(v) > 1 and sum(x * x for x in v) > 0.9 * cost for v in loads)
+    alone = sum(len(v) == 1 and v[0] ** 2 > cost for v in loads)
+    rest = [x for v in loads if not (len(v) == 1 and v[0] ** 2 > cost) for x in v]
+    least = alone + max(-(-sum(rest) // 2048), -(-len(rest) // 8), -(-sum(x * x for x in rest) // int(cost)))
+    assert len(loads) <= 1.2 * least
+
+
+def test_an_item_above_the_cost_is_whole_and_alone(spark):
+    rows = pack(spark.createDataFrame([(1, 300), (2, 100), (3, 100)], "doc_id long, n_tokens long"), max_cost=50_000).collect()
+    assert sorted((r["doc_id"], r["n_pieces"]) for r in rows) == [(1, 1), (2, 1), (3, 1)]
+    assert len({r["container"] for r in rows}) == 2
+
+
 def test_same_result_for_any_partitioning(spark):
     df = spark.createDataFrame([(i, (i * 37) % 900) for i in range(500)], "doc_id long, n_tokens long")
     a, b = pack(df, block_tokens=50_000), pack(df.repartition(7), block_tokens=50_000)
