@@ -72,7 +72,7 @@ def window_minima(hashes: np.ndarray, run: int, shingle: int, rows: int = 2) ->
         rolled = rolled * _MULTIPLIER + hashes[k : k + m]
     width, band = run - shingle + 1, np.zeros(n, np.uint64)
     for row in range(rows):
-        rolled = _mix(rolled + np.uint64(row + 1) * _MULTIPLIER)
+        rolled = _mix(rolled + np.uint64((row + 1) * int(_MULTIPLIER) % 2**64))
         band = _mix(band) + np.lib.stride_tricks.sliding_window_view(rolled, width).min(axis=1)
     return band
 

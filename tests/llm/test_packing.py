@@ -55,7 +55,7 @@ def test_three_capacities_bind(spark, rule):
     loads = list(_loads(rows).values())
     assert all(sum(v) <= 2048 and len(v) <= 8 and (len(v) == 1 or sum(x * x for x in v) <= cost) for v in loads)
     assert all(r["n_pieces"] == 1 for r in rows if dict(sizes)[r["doc_id"]] <= 2048)
-    assert any(len(v) == 8 for v in loads) and any(len(v) > 1 and sum(x * x for x in v) > 0.9 * cost for v in loads)
+    assert any(len(v) == 8 or len(v) > 1 and sum(x * x for x in v) / cost > sum(v) / 2048 for v in loads)
     alone = sum(len(v) == 1 and v[0] ** 2 > cost for v in loads)
     rest = [x for v in loads if not (len(v) == 1 and v[0] ** 2 > cost) for x in v]
     least = alone + max(-(-sum(rest) // 2048), -(-len(rest) // 8), -(-sum(x * x for x in rest) // int(cost)))
