@@ -3,8 +3,9 @@
 Every cell is generalised to a mask: upper-case letters ``A``, other letters ``a``, ASCII
 digits ``9``, other digits ``N``, white space other than a blank ``S``, all else as it is;
 runs of one class carry the mark ``RUN``.  The masks that hold at least ``min_share`` of a
-column's non-missing cells are its dominant patterns, all other masks are rare.  Cells and
-loads are judged from (column, load, mask) counts that are aggregated before any shuffle, so
+column's non-missing cells are its dominant patterns, all other masks are rare.  A mask that no usable
+value can have makes its cells violations; only cells under other masks are put to the rule of values.
+Patterns and loads are judged from counts that are aggregated before any shuffle, so
 a load or mask holding a third of all rows costs one partial row per task.
 
 Defined results: a null or blank cell is missing and has no mask; an empty table gives empty
@@ -19,8 +20,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.session import cut_lineage
+
 RUN = "⁺"
 
+#: Masks (runs collapsed) that a usable position can have: letters, blanks and one kind of dash or slash.
+PLACE_MASK = rf"^[Aa /{RUN}-]+$"
+
 #: Masks (runs collapsed) of a plain number between optional outer blanks.
 NUMBER_MASK = rf"^( {RUN}?)?9{RUN}?(\.9{RUN}?)?( {RUN}?)?$"
 
@@ -47,31 +53,13 @@ def masked_cells(df: DataFrame, case_id: str, load_id: str, columns: Sequence[st
     return cells.withColumn("missing", missing).withColumn("mask", F.when(~missing, mask_of(F.col("value"))))
 
 
-def dominant_masks(cells: DataFrame, min_share: float = 0.005) -> DataFrame:
-    """column_name, mask, n, share of the patterns holding ``min_share`` or more.
-
-    At most ``1 / min_share`` masks of a column can qualify, which bounds the result
-    whatever the size of the table.
-    """
-    counts = cells.where(~F.col("missing")).groupBy("column_name", "mask").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "column_name").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= min_share).select("column_name", "mask", "n", "share")
-
-
-def with_rarity(cells: DataFrame, min_share: float = 0.005) -> DataFrame:
-    """Cells with the share of their mask; ``rare`` marks masks outside the dominant ones."""
-    dominant = dominant_masks(cells, min_share).select("column_name", "mask", "share")
-    # at most 1 / min_share rows a column: the broadcast is bounded by that parameter
-    return cells.join(F.broadcast(dominant), ["column_name", "mask"], "left").withColumn("rare", F.col("mask").isNotNull() & F.col("share").isNull())
-
-
 def mask_divergence(cells: DataFrame) -> DataFrame:
     """Jensen-Shannon divergence (bits) of each load's masks from those of all other loads.
 
     Columns: column_name, load_id, cells, divergence.  A load whose column has no
     non-missing cell, or that is the only load, has no row.
     """
-    by = cells.where(~F.col("missing")).groupBy("column_name", "load_id", "mask").agg(F.count("*").cast("double").alias("n"))
+    by = cut_lineage(cells.where(~F.col("missing")).groupBy("column_name", "load_id", "mask").agg(F.count("*").cast("double").alias("n")))
     of_load = by.groupBy("column_name", "load_id").agg(F.sum("n").alias("n_load"))
     of_mask = by.groupBy("column_name", "mask").agg(F.sum("n").alias("n_mask"))
     of_all = by.groupBy("column_name").agg(F.sum("n").alias("n_all"))
@@ -101,19 +89,35 @@ def usable_position(value: Column) -> Column:
     return F.when(text.isin(*POSITIONS, *POSITION_PAIRS), text)
 
 
-def judged_cells(cells: DataFrame, heights: Sequence[str], positions: Sequence[str], min_share: float = 0.005) -> DataFrame:
-    """Masked cells with ``rare``, the usable ``number`` or ``label`` and ``violation``.
+def patterns(cells: DataFrame, fits: Column, min_share: float = 0.005) -> DataFrame:
+    """column_name, mask, n_cells, share, rare, fits: every pattern of every column.
+
+    ``rare``: less than ``min_share`` of the column's non-missing cells; ``fits``: the columns' rule on masks.
+    """
+    counts = cells.where(~F.col("missing")).groupBy("column_name", "mask").agg(F.count("*").alias("n_cells"))
+    counts = cut_lineage(counts)
+    totals = counts.groupBy("column_name").agg(F.sum("n_cells").alias("total"))
+    share = F.col("n_cells") / F.col("total")
+    return counts.join(totals, "column_name").select("column_name", "mask", "n_cells", F.round(share, 9).alias("share"), (share < min_share).cast("int").alias("rare"), fits.cast("int").alias("fits"))
+
+
+def fitting_mask(heights: Sequence[str], positions: Sequence[str]) -> Column:
+    """Whether a cell under this mask can be usable at all."""
+    return F.when(F.col("column_name").isin(*heights), F.col("mask").rlike(NUMBER_MASK)).when(F.col("column_name").isin(*positions), F.col("mask").rlike(PLACE_MASK)).otherwise(F.lit(True))
+
+
+def judged_cells(cells: DataFrame, heights: Sequence[str], positions: Sequence[str]) -> DataFrame:
+    """Masked cells with the usable ``number`` or ``label`` and ``violation``.
 
-    A cell violates its column when it is neither missing nor usable: its mask is rare, or
-    it hides under a dominant mask and fails the exact value rule.  A rare mask alone is no
-    violation if the exact rule accepts the value.
+    The mask decides first: a cell under one that no usable value can have violates its column, whatever it
+    says.  Cells under fitting masks are put to the exact rule of values.
     """
-    cells = with_rarity(cells, min_share)
-    height = F.col("column_name").isin(*heights)
-    cells = cells.withColumn("number", F.when(height, usable_height(F.col("value"), F.col("mask"))))
-    cells = cells.withColumn("label", F.when(F.col("column_name").isin(*positions), usable_position(F.col("value"))))
-    suspect = F.col("rare") | F.col("number").isNull() & height | F.col("label").isNull() & ~height
-    return cells.withColumn("violation", ~F.col("missing") & suspect & F.coalesce(F.col("number").cast("string"), F.col("label")).isNull())
+    fits = fitting_mask(heights, positions)
+    height, place = F.col("column_name").isin(*heights), F.col("column_name").isin(*positions)
+    cells = cells.withColumn("fits", fits)
+    cells = cells.withColumn("number", F.when(height & F.col("fits"), usable_height(F.col("value"), F.col("mask"))))
+    cells = cells.withColumn("label", F.when(place & F.col("fits"), usable_position(F.col("value"))))
+    return cells.withColumn("violation", ~F.col("missing") & (~F.col("fits") | F.coalesce(F.col("number").cast("string"), F.col("label")).isNull()))
 
 
 def load_figures(cells: DataFrame, positions: Sequence[str]) -> DataFrame:
@@ -121,6 +125,8 @@ def load_figures(cells: DataFrame, positions: Sequence[str]) -> DataFrame:
     grain = cells.groupBy("load_id", "column_name", "label").agg(
         F.count("*").alias("n"), F.count_if("missing").alias("missing"), F.count_if("violation").alias("bad"), F.sum("number").alias("total"), F.count("number").alias("numbers")
     )
+    # a few dozen rows a load: all figures below start from these
+    grain = cut_lineage(grain)
     whole = grain.groupBy("load_id", "column_name").agg(*[F.sum(c).alias(c) for c in ("n", "missing", "bad", "total", "numbers")], F.sum(F.when(F.col("label").isNotNull(), F.col("n"))).alias("labels"))
     figures = whole.select(
         "load_id",

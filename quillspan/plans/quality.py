@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.scalars import clean_id
 from quillspan.operators import asof, drift, profile
+from quillspan.session import cut_lineage
 from quillspan.sources.tables import table
 
 HEIGHTS = ("height_wo_shoes", "height_w_shoes")
 PLACES = ("position",)
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    return profile.masked_cells(table(spark, d, "combine_anthro", "anthro_row_id", "load_id", *HEIGHTS, *PLACES), "anthro_row_id", "load_id", [*HEIGHTS, *PLACES])
+#: All columns of combine_anthro: those profiled as texts and those profiled as numbers.
+TEXTS = ("load_id", "loaded_at", "feed", "trust_rank", "nba_player_id", "draft_year", "player_name", "position", *HEIGHTS)
+NUMBERS = ("anthro_row_id", "load_id", "trust_rank", "draft_year", "weight", "wingspan", "standing_reach", "body_fat_pct")
+
+
+def _cells(spark: SparkSession, d: str, columns: tuple[str, ...] = (*HEIGHTS, *PLACES)) -> DataFrame:
+    rows = table(spark, d, "combine_anthro", *dict.fromkeys(("anthro_row_id", "load_id", *columns)))
+    return profile.masked_cells(rows, "anthro_row_id", "load_id", columns)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,17 +31,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return bad.unionByName(loads)
 
 
+def p1_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return profile.patterns(_cells(spark, d), profile.fitting_mask(HEIGHTS, PLACES))
+
+
 def p1_column_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.column_profile(_cells(spark, d))
+    return profile.column_profile(_cells(spark, d, TEXTS))
 
 
 def p1_numeric_profile(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["weight", "wingspan", "standing_reach", "body_fat_pct", "trust_rank", "draft_year"]
-    return profile.numeric_profile(table(spark, d, "combine_anthro", *columns), columns)
+    return profile.numeric_profile(table(spark, d, "combine_anthro", *NUMBERS), NUMBERS)
 
 
 def p1_mask_divergence(spark: SparkSession, d: str) -> DataFrame:
-    return profile.mask_divergence(_cells(spark, d))
+    return profile.mask_divergence(_cells(spark, d, TEXTS))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,23 +55,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return asof.latest_season_as_known(events, rows).select("event_id", F.col("row_id").alias("box_row_id"))
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "combine_raw_records", "record_id", "feed_id", "file_name", "file_year", "row_no", "record")
-    return drift.members(records, "record", "record_id", "feed_id", "file_name", "file_year", "row_no")
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "combine_raw_records", "record_id", "feed_id", "file_name", "file_year", "row_no", "record")
+
+
+def _schema_changes(records: DataFrame) -> DataFrame:
+    found = drift.members(records, "record", "record_id", "feed_id", "file_name", "file_year", "row_no")
+    return drift.schema_changes(found, "feed_id", "file_name", "file_year", "row_no")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    changes = drift.schema_changes(_members(spark, d), "feed_id", "file_name", "file_year", "row_no")
-    return changes.where("change <> 'column'").select("file_name", "change", "raw_label").distinct()
+    return _schema_changes(_records(spark, d)).where("change <> 'column'").select("file_name", "change", "raw_label").distinct()
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
-    found = _members(spark, d)
-    changes = drift.schema_changes(found, "feed_id", "file_name", "file_year", "row_no")
-    return drift.consistent_table(found, changes, "feed_id", "file_name", "record_id")
+    """The one table of all records; JSON is read once for the schemas and once for the values."""
+    records = _records(spark, d)
+    return drift.consistent_table(records, "record", cut_lineage(_schema_changes(records)), "feed_id", "file_name", "record_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_column_profile, p1_numeric_profile, p1_mask_divergence, p2_found, p7_found, p7_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p1_column_profile, p1_numeric_profile, p1_mask_divergence, p2_found, p7_found, p7_table)}
 
 _POSITIONS = "PG|SG|SF|PF|C|G|F"
 _CELLS = """
@@ -70,6 +83,20 @@ cells as (
   union all select anthro_row_id, load_id, 'height_w_shoes', height_w_shoes from combine_anthro
   union all select anthro_row_id, load_id, 'position', position from combine_anthro)"""
 
+_TEXTS = "cells as (" + " union all ".join(f"select load_id, '{c}' as column_name, cast({c} as varchar) as value from combine_anthro" for c in TEXTS) + ")"
+
+
+def _mask_sql() -> str:
+    """The character-class mask of ``value``; runs by class and by each other character."""
+    mask = "value"
+    for pattern, mark in (("\\p{Lu}", "A"), ("[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}]", "a"), ("[0-9]", "9"), ("[０-９]", "N"), ("[\\t\\n\\x0b\\f\\r]", "S")):
+        mask = f"regexp_replace({mask}, '{pattern}', '{mark}', 'g')"
+    for c in ("A", "a", "9", "N", "S", " ", "[.]", "-", "/", ",", "\"", "''", "[?]", ":", "_"):
+        mask = f"regexp_replace({mask}, '{c}{{2,}}', '{c.strip('[]')}⁺', 'g')"
+    return mask
+
+
+_MASK = _mask_sql()
 
 SQL = {
     "p1_found": f"""
@@ -97,18 +124,28 @@ select 'cell' as kind, column_name, case_id from marked where bad
 union all
 select distinct 'load', f.column_name, cast(f.load_id as bigint) from figures f join medians m using (column_name, figure) where f.v is not null and abs(f.v - m.mid) > f.lim""",
     "p1_column_profile": f"""
+with {_TEXTS},
+v as (select column_name, value, {_MASK} as mask, count(*) as n from cells where value is not null and trim(value, ' ') <> '' group by all)
+select c.column_name, c.n_rows, c.n_rows - coalesce(sum(v.n), 0)::bigint as n_missing, count(v.value) as n_distinct, count(distinct v.mask) as n_masks,
+  min(v.value) as low, max(v.value) as high, max(v.n) as n_top
+from (select column_name, count(*) as n_rows from cells group by all) c left join v using (column_name) group by c.column_name, c.n_rows""",
+    "p1_patterns": f"""
 with {_CELLS},
-c as (select column_name, value, coalesce(trim(value, ' ') = '', true) as missing from cells),
-v as (select column_name, value, count(*) as n from c where not missing group by all)
-select column_name, cast(count(*) as bigint) as n_rows, cast(count(*) filter (where missing) as bigint) as n_missing,
-  cast(count(distinct value) filter (where not missing) as bigint) as n_distinct, max(k.n_masks) as n_masks,
-  min(value) filter (where not missing) as low, max(value) filter (where not missing) as high, max(k.n_top) as n_top
-from c join (select column_name, max(n) as n_top, count(distinct m) as n_masks from (
-  select column_name, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '\\p{{Lu}}', 'A', 'g'), '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]', 'a', 'g'), '[0-9]', '9', 'g'), 'A{{2,}}', 'A+', 'g'), 'a{{2,}}', 'a+', 'g'), '9{{2,}}', '9+', 'g'), ' {{2,}}', ' +', 'g'), '[.]{{2,}}', '.+', 'g'), '[０-９]{{2,}}', 'N+', 'g') as m from v) group by column_name) k using (column_name)
-group by column_name""",
+m as (select column_name, {_MASK} as mask, count(*) as n_cells from cells where value is not null and trim(value, ' ') <> '' group by all),
+s as (select *, n_cells / sum(n_cells) over (partition by column_name) as share from m)
+select column_name, mask, n_cells, round(share, 9) as share, (share < 0.005)::int as rare,
+  case when column_name = 'position' then regexp_full_match(mask, '[Aa /⁺-]+') else regexp_full_match(mask, '( ⁺?)?9⁺?([.]9⁺?)?( ⁺?)?') end::int as fits from s""",
+    "p1_mask_divergence": f"""
+with {_TEXTS},
+m as (select column_name, load_id, {_MASK} as mask, count(*)::double as n from cells where value is not null and trim(value, ' ') <> '' group by all),
+t as (select *, sum(n) over (partition by column_name, load_id) as n_load, sum(n) over (partition by column_name, mask) as n_mask, sum(n) over (partition by column_name) as n_all from m),
+p as (select *, n / n_load as p, (n_mask - n) / (n_all - n_load) as q from t where n_all > n_load)
+select column_name, load_id, max(n_load)::bigint as cells,
+  round(sum(0.5 * p * log2(p / ((p + q) / 2)) + case when q > 0 then 0.5 * q * log2(q / ((p + q) / 2)) else 0 end) + 0.5 * (1 - sum(q)), 6) as divergence
+from p group by column_name, load_id""",
     "p1_numeric_profile": "\nunion all\n".join(
         f"select '{c}' as column_name, count(*) as n_rows, count(x) as n_values, min(x) as low, max(x) as high, round(avg(x), 6) as mean, round(stddev_samp(x), 6) as deviation from (select case when not isnan(cast({c} as double)) then cast({c} as double) end as x from combine_anthro)"
-        for c in ("weight", "wingspan", "standing_reach", "body_fat_pct", "trust_rank", "draft_year")
+        for c in NUMBERS
     ),
     "p2_found": """
 with e as (

@@ -1,6 +1,9 @@
 """The general data problems on small hand-made tables."""
 
+import itertools
 import json
+import math
+import random
 from datetime import datetime
 
 from quillspan.operators import asof, drift, profile
@@ -23,7 +26,7 @@ def test_usable_cells(spark):
     heights = {"82": True, " 60.0 ": True, "96": True, "96.01": False, "59.9": False, "7.": False, ".7": False, "8..2": False, "+80": False, "8e1": False, "80\n": False, "８０": False, "080": True}
     places = {"pg": True, "PG / SG": True, "PG-PG": False, "PG-": False, "C-F": True, "PG-SG-SF": False, "P G": False, "PG–SG": False}
     rows = [(i, 1, h, None, "x") for i, h in enumerate(heights)] + [(100 + i, 1, None, p, "x") for i, p in enumerate(places)]
-    judged = profile.judged_cells(_cells(spark, rows), ["h"], ["p"], min_share=0.2)
+    judged = profile.judged_cells(_cells(spark, rows), ["h"], ["p"])
     bad = {(r["column_name"], r["value"]) for r in judged.where("violation").collect()}
     assert bad == {("h", h) for h, ok in heights.items() if not ok} | {("p", p) for p, ok in places.items() if not ok}
 
@@ -69,14 +72,17 @@ def test_as_known_at_equals_brute_force(spark):
     assert {r["probe_ref"]: r["change_ref"] for r in asof.match_versions(c, p, ["k"]).collect()} == want
 
 
-def _records(spark, files):
+def _raw(spark, files):
     rows, k = [], 0
     for year, records in files.items():
         for at, r in enumerate(records):
             k += 1
             rows.append((k, "f", f"f_{year}", year, at, r if isinstance(r, str) or r is None else json.dumps(r)))
-    df = spark.createDataFrame(rows, "record_id long, feed_id string, file_name string, file_year int, row_no int, record string")
-    return drift.members(df, "record", "record_id", "feed_id", "file_name", "file_year", "row_no")
+    return spark.createDataFrame(rows, "record_id long, feed_id string, file_name string, file_year int, row_no int, record string")
+
+
+def _records(spark, files):
+    return drift.members(_raw(spark, files), "record", "record_id", "feed_id", "file_name", "file_year", "row_no")
 
 
 def _changes(spark, files):
@@ -108,13 +114,67 @@ def test_drift_of_nested_records(spark):
     assert got == {("f_2", "renamed", "p.why"), ("f_2", "added", "q"), ("f_2", "added", "q.z"), ("f_3", "moved", "q.why")}
 
 
+def test_cut_off_records_keep_their_complete_members():
+    pairs = lambda t: [(k, v if not isinstance(v, drift._Object) else dict(v.pairs)) for k, v in drift._pairs(t)]
+    assert pairs('{"a":1,"n":{"x":1},"b":2,"c":"unf') == [("a", 1), ("n", {"x": 1}), ("b", 2), ("c", None)]
+    assert pairs('{"a":[1,2],"n":{"x":1,"y":"un') == [("a", [1, 2]), ("n", {"x": 1, "y": None})]
+    assert pairs('{"a":12') == [("a", None)] and pairs('{"a":12,') == [("a", 12)] and pairs("{") == [] and pairs('{"a') == []
+    deep = '{"a":' * 5000
+    assert drift._pairs(deep)[0][0] == "a"
+
+
+def _field(label, mean, n=20, place=0, sd=1.0):
+    return {"label": label, "raw_label": label, "place": place, "numbers": n, "strings": 0, "others": 0, "n_num": n, "s1": n * mean, "s2": n * mean * mean + (n - 1) * sd * sd}
+
+
+def _brute(a_tree, b_tree, old=(), new=()):
+    """Least cost of a mapping of the fields below two paths, over all injections."""
+    a, b = [k for k in a_tree if k[0] == old], [k for k in b_tree if k[0] == new]
+    weight = lambda tree, k: 1.0 + sum(weight(tree, c) for c in tree if c[0] == (*k[0], k[1]))
+    best = math.inf
+    for chosen in itertools.product([None, *range(len(b))], repeat=len(a)):
+        used = [j for j in chosen if j is not None]
+        if len(set(used)) < len(used):
+            continue
+        cost = sum(weight(b_tree, b[j]) for j in range(len(b)) if j not in used)
+        for k, j in zip(a, chosen):
+            cost += weight(a_tree, k) if j is None else drift.map_cost(a_tree[k], b_tree[b[j]]) + _brute(a_tree, b_tree, (*k[0], k[1]), (*b[j][0], b[j][1]))
+        best = min(best, cost)
+    return best
+
+
+def test_tree_distance_equals_brute_force():
+    rnd = random.Random(1)
+
+    def tree():
+        out = {}
+        for path in [(), ("p",), ("q",), ("p", "r")][: rnd.randint(1, 4)]:
+            for label in rnd.sample(["x", "yy", "yz", "w_t"], rnd.randint(1, 3)):
+                out[path, label] = _field(label, rnd.choice([1, 2, 50, 52, 900]), place=rnd.randint(0, 3))
+        for path in [(), ("p",)]:
+            for label in ("p", "q", "r"):
+                if any(k[0] == (*path, label) for k in out):
+                    out[path, label] = {**_field(label, 0), "n_num": 0, "numbers": 0, "others": 5}
+        return out
+
+    for _ in range(60):
+        a, b = tree(), tree()
+        assert abs(drift._Trees(a, b, 2.0).forests((), ())[0] - _brute(a, b)) < 1e-9
+
+
+def test_a_label_that_other_values_took_over_is_no_keep():
+    before = {((), "a"): _field("a", 80), ((), "k"): _field("k", 5)}
+    after = {((), "a"): _field("a", 9000), ((), "b"): _field("b", 80), ((), "k"): _field("k", 5)}
+    assert set(drift.edit_script(before, after)) == {("keep", ((), "k"), ((), "k")), ("rename", ((), "a"), ((), "b")), ("add", None, ((), "a"))}
+
+
 def test_consistent_table_keeps_every_value(spark):
-    files = {1: [{"WT": 200 + i, "P.K": i} for i in range(4)], 2: [{"LBS": 201 + i, "p k": i} for i in range(4)]}
-    found, changes = _changes(spark, files)
-    cells = drift.consistent_table(found, changes, "feed_id", "file_name", "record_id").collect()
-    assert len(cells) == 16 and {r["column"] for r in cells} == {"wt", "p_k"}
-    wide = drift.wide_table(drift.consistent_table(found, changes, "feed_id", "file_name", "record_id"), "record_id", ["wt", "p_k"])
-    assert sorted(r["wt"] for r in wide.collect())[0] == "200"
+    files = {1: [{"WT": 200 + i, "P.K": i, "N": "x", "record id": 7, "Q": {"Z": i}} for i in range(4)], 2: [{"LBS": f"{201 + i} lb", "p k": i, "N": "y", "q": {"z": i}} for i in range(4)]}
+    df = _raw(spark, files)
+    rows = drift.consistent_table(df, "record", _changes(spark, files)[1], "feed_id", "file_name", "record_id").collect()
+    assert len(rows) == 8 and set(rows[0].asDict()) == {"record_id", "feed_id", "file_name", "wt", "p_k", "n", "record_id_in_record", "q", "q.z"}
+    assert sorted(r["wt"] for r in rows) == [200.0, 201.0, 201.0, 202.0, 202.0, 203.0, 203.0, 204.0]
+    assert {(r["record_id"], r["n"], r["record_id_in_record"], r["q.z"]) for r in rows} == {(i + 1, "xy"[i // 4], 7.0 if i < 4 else None, float(i % 4)) for i in range(8)}
 
 
 def test_long_and_odd_records(spark):
@@ -130,4 +190,4 @@ def test_files_without_name_or_year(spark):
     found = drift.members(df, "record", "record_id", "feed_id", "file_name", "file_year", "row_no")
     changes = drift.schema_changes(found, "feed_id", "file_name", "file_year", "row_no")
     assert {(r["file_name"], r["change"], r["raw_label"]) for r in changes.where("change <> 'column'").collect()} == {(None, "added", "B"), (None, "removed", "A")}
-    assert drift.consistent_table(found, changes, "feed_id", "file_name", "record_id").count() == 3
+    assert drift.consistent_table(df, "record", changes, "feed_id", "file_name", "record_id").count() == 3
