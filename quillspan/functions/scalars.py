@@ -168,7 +168,9 @@ def age_on_july_first(year: Column | str, born: Column | str) -> Column:
 
 
 def clipped_logit(p: Column | str, eps: float = 1e-6) -> Column:
-    x = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), as_column(p).cast("double")))
+    """Logit of a probability kept ``eps`` off 0 and 1; null stays null, NaN and infinities fail the job."""
+    p = as_column(p).cast("double")
+    x = F.when(F.isnan(p) | (F.abs(p) == float("inf")), F.raise_error(F.lit("logit of a score that is not finite")).cast("double")).when(p.isNotNull(), F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), p)))
     return F.ln(x / (1.0 - x))
 
 
@@ -180,6 +182,11 @@ def close_to(a: Column | str, b: Column | str, rtol: float = 1e-5, atol: float =
     return F.abs(as_column(a) - as_column(b)) <= F.lit(atol) + F.lit(rtol) * F.abs(as_column(b))
 
 
+def any_alias(text: Column, aliases: Column) -> Column:
+    """Whether the text contains any non-empty alias of an array; null-safe."""
+    return F.coalesce(F.exists(aliases, lambda a: (a != "") & text.contains(a)), F.lit(False))
+
+
 def contains_either_way(a: Column, b: Column) -> Column:
     """True when one non-empty text equals or contains the other; null-safe."""
     return F.coalesce((a != "") & (b != "") & (a.contains(b) | b.contains(a)), F.lit(False))

@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.scalars import clipped_logit
+from quillspan.ml.metrics import regression
 from quillspan.ml.prepare import Preparation, learn
 from quillspan.ml.splits import SplitBounds, chronological_split
-from quillspan.operators.audit import leakage_reason
+from quillspan.operators.audit import leaking
 from quillspan.operators.joins import purge_groups
-from quillspan.operators.windows import top_fraction
+from quillspan.operators.windows import choose_top
 
 # What a configuration must name.
 REQUIRED = ("target", "numerical_features", "categorical_features", "split", "model")
@@ -29,20 +30,28 @@ def check_config(config: Mapping) -> dict:
     lost = [k for k in REQUIRED if k not in config]
     if lost:
         raise ValueError(f"configuration lacks {lost}")
-    features = [*config["numerical_features"], *config["categorical_features"]]
+    lists = (config["numerical_features"], config["categorical_features"])
+    if any(isinstance(x, str) or not isinstance(x, Sequence) or not all(isinstance(f, str) for f in x) for x in lists):
+        raise ValueError("features must be lists of names")
+    features = [*lists[0], *lists[1]]
+    if not features:
+        raise ValueError("no features")
     if len(set(features)) < len(features):
         raise ValueError("a feature is named twice")
     if config["target"] in features:
         raise ValueError("the target is among the features")
-    leaks = {f: r for f in features if (r := leakage_reason(f))}
-    if leaks:
+    if leaks := leaking(features):
         raise ValueError(f"features that must not be used: {leaks}")
     SplitBounds(**config["split"])
     return {"numerical_missing_strategy": "median", "probability_calibration": None, "refit_on_train_validation": True, "log_transform_target": True} | dict(config)
 
 
 def load_config(path: str | Path) -> dict:
-    return check_config(json.loads(Path(path).read_text()))
+    """A checked configuration; a file must also say where its table lies (``data_path``)."""
+    config = json.loads(Path(path).read_text())
+    if not config.get("data_path"):
+        raise ValueError(f"{path} lacks data_path")
+    return check_config(config)
 
 
 def ridge(alpha: float, n: int, target_deviation: float, target: str) -> LinearRegression:
@@ -100,7 +109,7 @@ class Fitted:
         rule = self.rule or {"type": "threshold", "threshold": 0.5}
         if rule["type"] == "threshold":
             return scored.withColumn("chosen", (F.col("probability") >= rule["threshold"]).cast("int"))
-        return scored.withColumn("chosen", top_fraction(scored, [year], rule["fraction"], F.col("probability").desc(), *[F.col(t) for t in ties]))
+        return choose_top(scored, [year], rule["fraction"], "probability", ties, "chosen")
 
 
 def fit_calibrator(scored: DataFrame, target: str, c: float = 1.0) -> tuple[float, float]:
@@ -119,6 +128,8 @@ def fit_model(training: DataFrame, config: Mapping) -> Fitted:
     trees = name.startswith("gbt")
     prep = learn(training, config["numerical_features"], config["categorical_features"], scale=not trees, indicators=config.get("numerical_missing_indicators", trees))
     log_target = bool(config.get("log_transform_target")) and name in ("ridge", "gbt_regressor")
+    if log_target and not training.where(F.col(target) <= -1).isEmpty():
+        raise ValueError(f"the logarithm of 1 + {target} needs targets above -1")
     rows = training.withColumn(target, F.log1p(target)) if log_target else training
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.stddev_pop(target), F.lit(1.0)).alias("s")).first()
     made = estimator(name, config["model"].get("hyperparameters", {}), target, size["n"], size["s"]).fit(prep.apply(rows))
@@ -143,6 +154,26 @@ def fit_classifier(df: DataFrame, config: Mapping) -> tuple[Fitted, dict[str, Da
     return final, parts
 
 
+def fit_regressor(df: DataFrame, config: Mapping) -> tuple[Fitted, dict[str, dict[str, float]]]:
+    """Fit on training rows, refit with the validation rows if configured; metrics of each part.
+
+    Validation metrics are those of the first fit, test metrics those of the last.
+    """
+    config = check_config(config)
+    parts = chronological_split(df, SplitBounds(**config["split"]))
+    group = config.get("group_column")
+    purge = lambda a, b: purge_groups(a, b, group) if group else a
+
+    def measured(made: Fitted, rows: DataFrame) -> dict[str, float]:
+        scores = regression(F.col(config["target"]), F.col("predicted"))
+        return made.score(rows).agg(F.count("*").alias("n"), *[v.alias(k) for k, v in scores.items()]).first().asDict()
+
+    first = fit_model(purge(parts["train"], parts["validation"]), config)
+    found = {"train": measured(first, parts["train"]), "validation": measured(first, parts["validation"])}
+    final = fit_model(purge(parts["train"].unionByName(parts["validation"]), parts["test"]), config) if config["refit_on_train_validation"] else first
+    return final, found | {"test": measured(final, parts["test"])}
+
+
 def importance(fitted: Fitted) -> list[tuple[str, float]]:
     """(raw feature, importance), largest first; one-hot columns summed to their feature."""
     model = fitted.model

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.scalars import number
+from quillspan.operators.windows import exact_medians
 
 
 def prepare_table(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str] = (), strict: bool = False) -> DataFrame:
@@ -50,10 +51,10 @@ class Preparation:
 def learn(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), scale: bool = True, indicators: bool = True, max_levels: int = 10_000) -> Preparation:
     """Medians, means, population deviations and category levels of the fit rows.
 
-    Two aggregations; levels are counted in full and refused beyond ``max_levels``.
+    Medians are exact and come from counts by value; levels are counted in full and refused beyond ``max_levels``.
     """
-    stats = df.agg(F.count("*").alias("n"), *[F.median(c).alias(f"{c}|med") for c in numeric], *[F.count(c).alias(f"{c}|n") for c in numeric]).first()
-    medians = {c: stats[f"{c}|med"] if stats[f"{c}|med"] is not None else 0.0 for c in numeric}
+    stats = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"{c}|n") for c in numeric]).first()
+    medians = {c: 0.0 if m is None else m for c, m in exact_medians(df, numeric).items()} if numeric else {}
     made = Preparation(list(numeric), medians)
     if scale and numeric:
         filled = [F.coalesce(F.col(c), F.lit(medians[c])) for c in numeric]

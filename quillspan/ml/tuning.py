@@ -55,10 +55,24 @@ def protect_source(source: str | Path, target: str | Path) -> None:
         raise ValueError(f"{target} is the source configuration")
 
 
+# Other names of the metrics in configurations.
+METRIC_NAMES = {"macro_normalized_average_precision": "macro_normalized_ap", "pooled_rmse": "rmse"}
+
+
+def selection_metric(config: Mapping) -> str:
+    """The metric that candidates are ranked by; ``rmse`` for regressions where none is named."""
+    named = config["tuning"].get("selection_metric") or config["tuning"].get("metric")
+    classifier = config["model"]["name"] in ("logistic_regression", "gbt_classifier")
+    named = METRIC_NAMES.get(named, named) or ("macro_normalized_ap" if classifier else "rmse")
+    if named not in ("rmse", "macro_normalized_ap", "average_precision", "roc_auc") or classifier == (named == "rmse"):
+        raise ValueError(f"metric {named} does not suit {config['model']['name']}")
+    return named
+
+
 def score_candidate(df: DataFrame, config: Mapping, parameters: Mapping) -> dict:
     """Pooled out-of-fold score and the mean and spread over folds."""
     made = with_parameters(config, parameters)
-    column, metric = config["split"]["column"], config["tuning"].get("metric", "rmse")
+    column, metric = config["split"]["column"], selection_metric(config)
     folds = expanding_folds(config["tuning"]["validation_folds"], column, config["split"]["test_start"])
     scored = []
     for i, fold in enumerate(folds):
@@ -73,11 +87,11 @@ def score_candidate(df: DataFrame, config: Mapping, parameters: Mapping) -> dict
     elif metric == "macro_normalized_ap":
         value = macro_normalized_ap(pooled, config["target"], "probability", column).first()["macro_normalized_ap"]
         each = [value]
-    elif metric in ("average_precision", "roc_auc"):
+    else:
         value = ranking(pooled, config["target"], "probability").first()[metric]
         each = [r[metric] for r in ranking(pooled, config["target"], "probability", ["fold"]).collect()]
-    else:
-        raise ValueError(f"unknown metric {metric}")
+    if value is None or None in each:
+        raise ValueError(f"{metric} is undefined: validation rows of one class only")
     mean = sum(each) / len(each)
     return {"parameters": dict(parameters), "score": value, "fold_mean": mean, "fold_deviation": (sum((x - mean) ** 2 for x in each) / len(each)) ** 0.5}
 
@@ -86,4 +100,4 @@ def tune(df: DataFrame, config: Mapping) -> list[dict]:
     """All candidates, best first; of equal scores the earlier stays ahead."""
     t = config["tuning"]
     tried = [score_candidate(df, config, p) for p in candidates(t["search_space"], t.get("n_iter"), t.get("random_state", 42), t.get("fixed_candidates", ()))]
-    return sorted(tried, key=lambda r: r["score"] if t.get("metric", "rmse") == "rmse" else -r["score"])
+    return sorted(tried, key=lambda r: r["score"] if selection_metric(config) == "rmse" else -r["score"])

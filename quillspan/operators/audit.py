@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,44 +64,91 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.drop(*[c for i, c in enumerate(df.columns) if row[i] == 0])
 
 
-# Roles of feature names, by rule; the first that holds decides.
-MANIFEST_RULES = (
-    ("name = 'drafted'", "target"),
-    ("name in ('event_id', 'nba_player_id', 'draft_year', 'player_name')", "key"),
-    ("name like 'combine_derived%'", "combine_derived"),
-    ("name like 'combine%'", "combine"),
-    ("name like 'college%'", "college"),
+@dataclass(frozen=True)
+class NameRule:
+    """What column names say: whole names, beginnings, ends or parts, in lower case."""
+
+    meaning: str
+    names: tuple[str, ...] = ()
+    starts: tuple[str, ...] = ()
+    ends: tuple[str, ...] = ()
+    parts: tuple[str, ...] = ()
+
+    def holds(self, name: Column) -> Column:
+        text = F.lower(name)
+        tests = [text.isin(*self.names)] if self.names else []
+        tests += [text.startswith(x) for x in self.starts] + [text.endswith(x) for x in self.ends] + [text.contains(x) for x in self.parts]
+        return reduce(lambda a, b: a | b, tests)
+
+    def matches(self, name: str) -> bool:
+        text = name.lower()
+        return text in self.names or text.startswith(self.starts) or text.endswith(self.ends) or any(x in text for x in self.parts)
+
+
+# Columns that may not be features, by what they give away.
+LEAKAGE = (
+    NameRule("the outcome of the draft, or what is known after it", ("drafted", "overall_pick", "round_number", "round_pick", "draft_pick", "drafted_team", "draft_team", "draft_organization", "team_abbreviation", "organization", "organization_type", "nba_min_3y"), starts=("nba_",)),
+    NameRule("who it is", ("id", "name", "player_id", "temp_player_id", "athlete_id", "college_espn_id", "player_name", "first_name", "last_name", "normalized_name"), ends=("_id", "_name")),
+    NameRule("how or whether records were joined", ("player_profile_flag", "combine_available", "has_college_data"), parts=("match_method",)),
+    NameRule("the calendar", ("year", "season", "draft_year"), ends=("_year", "_season")),
+)
+
+# Groups of feature names of a model table.
+FEATURE_GROUPS = (
+    NameRule("target", ("drafted",)),
+    NameRule("key", ("event_id", "nba_player_id", "draft_year", "player_name")),
+    NameRule("availability", ("has_college_data", "combine_available", "player_profile_flag")),
+    NameRule("identity", ("college_espn_id", "organization", "organization_type"), parts=("match_method",)),
+    NameRule("combine_derived", starts=("combine_derived",)),
+    NameRule("combine_shooting", starts=("combine_spot", "combine_shot", "combine_off_drib", "combine_on_move")),
+    NameRule("combine_drills", starts=("combine_lane", "combine_sprint", "combine_bench", "combine_three_quarter"), parts=("vertical",)),
+    NameRule("combine_measurements", starts=("combine",)),
+    NameRule("college_team", starts=("college_team",)),
+    NameRule("college_development", starts=("college_delta", "college_development")),
+    NameRule("college_last_season", starts=("college_last",)),
+    NameRule("college_career", starts=("college_career",)),
+    NameRule("age", parts=("age_on_",)),
+    NameRule("college_other", starts=("college",)),
 )
 
 
-def feature_manifest(df: DataFrame, rules: Sequence[tuple[str, str]] = MANIFEST_RULES) -> DataFrame:
-    """(name, place, type, role) of the columns of a table."""
+def first_meaning(name: Column, rules: Sequence[NameRule]) -> Column:
+    """Meaning of the first rule that holds, null where none does."""
+    return F.coalesce(*[F.when(r.holds(name), F.lit(r.meaning)) for r in rules])
+
+
+def feature_manifest(df: DataFrame, rules: Sequence[NameRule] = FEATURE_GROUPS) -> DataFrame:
+    """(name, place, type, role) of the columns of a table; a name without a rule is a ``feature``."""
     rows = [(f.name, i, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
     names = df.sparkSession.createDataFrame(rows, "name string, place int, type string")
-    role = F.when(F.expr(rules[0][0]), F.lit(rules[0][1]))
-    for cond, value in rules[1:]:
-        role = role.when(F.expr(cond), F.lit(value))
-    return names.withColumn("role", role.otherwise(F.lit("feature")))
+    return names.withColumn("role", F.coalesce(first_meaning(F.col("name"), rules), F.lit("feature")))
+
+
+def leaking(names: Sequence[str], rules: Sequence[NameRule] = LEAKAGE) -> dict[str, str]:
+    """Those of the names that may not be features, with what they give away."""
+    found = {n: next((r.meaning for r in rules if r.matches(n)), None) for n in names}
+    return {n: meaning for n, meaning in found.items() if meaning}
+
+
+def first_existing(df: DataFrame, *names: str) -> str | None:
+    """The first of the names that is a column, ignoring case."""
+    have = {c.lower(): c for c in df.columns}
+    return next((have[n.lower()] for n in names if n.lower() in have), None)
 
 
-# Names that give away the outcome, and why.
-LEAKS = ("overall_pick", "round_number", "round_pick", "draft_pick", "drafted_team", "team_abbreviation")
+def target_integrity(rows: DataFrame, official: DataFrame, keys: Sequence[str], target: str, by: str, outcome: str | None = None) -> DataFrame:
+    """Per ``by``: rows, rows whose target differs from their key's presence among ``official`` keys,
+    and rows outside them that carry an ``outcome`` all the same."""
+    known = official.select(*keys).dropna().distinct().withColumn("_official", F.lit(1))
+    joined = rows.join(known, list(keys), "left").withColumn("_official", F.coalesce("_official", F.lit(0)))
+    stray = F.count_if((F.col("_official") == 0) & F.col(outcome).isNotNull()) if outcome else F.lit(0).cast("bigint")
+    return joined.groupBy(by).agg(F.count("*").alias("n_rows"), F.count_if(~F.col(target).eqNullSafe(F.col("_official"))).alias("n_differing"), stray.alias("n_stray_outcomes"))
 
 
-def leakage_reason(column: str, explicit: Sequence[str] = LEAKS) -> str | None:
-    """Why a column may not be a feature; rules in order, null if it may."""
-    name = column.lower()
-    if name in explicit or name.startswith("nba_"):
-        return "known only after the event"
-    if name == "id" or name.endswith("_id"):
-        return "identifier"
-    if name == "name" or name.endswith("_name"):
-        return "name"
-    if "match_method" in name:
-        return "audit column"
-    if name in ("season", "year") or name.endswith(("_season", "_year")):
-        return "calendar"
-    return None
+def verdicts(checks: DataFrame, tolerated: Sequence[str] = ()) -> DataFrame:
+    """(check_name, n_rows, n_bad) with a verdict: PASS, WARN for a tolerated check, else FAIL."""
+    bad = F.when(F.col("check_name").isin(*tolerated), "WARN").otherwise("FAIL") if tolerated else F.lit("FAIL")
+    return checks.withColumn("verdict", F.when(F.col("n_bad") == 0, "PASS").otherwise(bad))
 
 
 def file_coverage(df: DataFrame, file: str, key: str, measures: Sequence[str]) -> DataFrame:
@@ -123,7 +172,7 @@ def validate_model_table(df: DataFrame, key: Sequence[str], target: str, feature
     bad = df.where(~F.coalesce(F.col(target).isin(0, 1), F.lit(False))).limit(1).count()
     if bad:
         raise ValueError(f"target {target} is not binary")
-    named = {c: r for c in features if (r := leakage_reason(c))}
+    named = leaking(features)
     text = [c for c in features if not isinstance(df.schema[c].dataType, (T.NumericType, T.StringType))]
     if named or text:
         raise ValueError(f"not allowed as features: {named or text}")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.scalars import half_up_count
+from quillspan.session import cut_lineage
 
 
 def _bucket(counts: DataFrame, order: str, parts: int) -> Column:
@@ -21,12 +22,18 @@ def _bucket(counts: DataFrame, order: str, parts: int) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
 
 
-def running_totals(counts: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False, parts: int = 64) -> DataFrame:
+def stretches(spark: SparkSession) -> int:
+    """Number of stretches for running totals: four for each shuffle partition, 64 to 512."""
+    return min(512, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def running_totals(counts: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False, parts: int | None = None) -> DataFrame:
     """``counts`` with running totals along ``order`` (``sums``: total's name to summed column).
 
     Two levels: totals per stretch of values are summed up along the stretches, and only the
     rows of one stretch are ordered together, so neither a group nor the whole need fit a task.
     """
+    parts = parts or stretches(counts.sparkSession)
     counts = counts.withColumn("_b", _bucket(counts, order, parts))
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     whole = counts.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{t}") for t, c in sums.items()])
@@ -70,10 +77,63 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str, percen
     return left.join(right, on, "left").select("l.*", f"r.{name}")
 
 
-def top_fraction(df: DataFrame, by: Sequence[str], fraction: float, *order: Column) -> Column:
-    """1 for the first floor(fraction * n + 0.5) rows of each partition, else 0."""
-    w = Window.partitionBy(*by)
-    return (F.row_number().over(w.orderBy(*order)) <= half_up_count(F.count("*").over(w) * fraction)).cast("int")
+def group_medians(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """(by, name): exact median of the numbers of each group, nulls left out.
+
+    Numbers are counted by value and the counts summed up in two levels: no task holds a group.
+    """
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n")))
+    steps = running_totals(counts, by, "_x", {"_upto": "_n"})
+    steps = group_totals(steps, counts.groupBy(*by).agg(F.sum("_n").alias("_all")), by, ["_all"])
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_x")))
+    return steps.groupBy(*by).agg(((at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))) / 2).alias(name))
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Median of each column's numbers, nulls left out; null for none."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")
+    rows = group_medians(df.select(pairs).select("p.*"), ["column"], "x", "m").collect()  # a row a column
+    return dict.fromkeys(columns) | {r["column"]: r["m"] for r in rows}
+
+
+def ordered_rank(df: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], name: str) -> DataFrame:
+    """``df`` with each row's place by descending score and then ``ties``, from 1, in its group.
+
+    The places of scores come from counts; rows are ordered only among those of one score.
+    """
+    counts = cut_lineage(df.groupBy(*by, score).agg(F.count("*").alias("_n")))
+    steps = running_totals(counts.where(F.col(score).isNotNull()), by, score, {"_upto": "_n"}, descending=True)
+    on = F.col(f"l.{score}").eqNullSafe(F.col(f"r.{score}"))
+    for b in by:
+        on = on & F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
+    # rows without a score come after all others of their group
+    last = group_totals(counts.where(F.col(score).isNull()), counts.groupBy(*by).agg(F.sum("_n").alias("_upto")), by, ["_upto"])
+    places = steps.unionByName(last).withColumn("_before", F.col("_upto") - F.col("_n"))
+    within = F.row_number().over(Window.partitionBy(*by, score).orderBy(*ties))
+    return df.alias("l").join(places.alias("r"), on).select("l.*", "r._before").withColumn(name, F.col("_before") + within).drop("_before")
+
+
+def choose_top(df: DataFrame, by: Sequence[str], fraction: float, score: str, ties: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``: 1 for the first floor(fraction * n + 0.5) rows of each group by descending score.
+
+    The score at which a group is cut comes from counts; only rows of that score are ordered, by ``ties``.
+    A missing score comes last.
+    """
+    filled = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    counts = cut_lineage(df.groupBy(*by, filled.alias("_score")).agg(F.count("*").alias("_n")))
+    steps = running_totals(counts, by, "_score", {"_upto": "_n"}, descending=True)
+    steps = group_totals(steps, counts.groupBy(*by).agg(F.sum("_n").alias("_all")), by, ["_all"])
+    take = half_up_count(F.col("_all") * fraction)
+    steps = steps.select(*by, "_score", (take - (F.col("_upto") - F.col("_n"))).alias("_left"), "_n")
+    on = F.col("l._score") == F.col("r._score")
+    for b in by:
+        on = on & F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
+    rows = df.withColumn("_score", filled).alias("l").join(steps.alias("r"), on).select("l.*", "r._left", "r._n")
+    cut = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
+    whole = rows.where(~cut).withColumn(name, (F.col("_left") > 0).cast("int"))
+    order = Window.partitionBy(*by, "_score").orderBy(*ties) if ties else Window.partitionBy(*by, "_score").orderBy(F.lit(0))
+    tied = rows.where(cut).withColumn(name, (F.row_number().over(order) <= F.col("_left")).cast("int"))
+    return whole.unionByName(tied).drop("_score", "_left", "_n")
 
 
 def repeated(keys: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from quillspan.functions.scalars import clean_id, number, sum_columns, within
 from quillspan.operators import audit
 from quillspan.operators.aggregates import crosstab_share, dense_years, missingness, standardized_difference
 from quillspan.operators.joins import latest_per
-from quillspan.operators.windows import average_rank, repeated, top_fraction
+from quillspan.operators.windows import average_rank, choose_top, group_medians, repeated
 from quillspan.plans.base import ANCHORS_SQL, SEASONS_SQL, Book, entity_seasons, sql_id
 from quillspan.sources.tables import table
 
@@ -83,10 +83,12 @@ def value_counts_top(spark: SparkSession, d: str) -> DataFrame:
 
 @book.query("select c_mktsegment, count(*) as n, round(median(c_acctbal), 6) as middle, round(stddev_samp(c_acctbal), 4) as dev, round(stddev_pop(c_acctbal), 4) as dev_pop, round(100 * avg(case when c_acctbal < 0 then 1.0 else 0.0 end), 6) as pct_negative from customer group by 1")
 def median_std_stats(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("c_acctbal")
-    return table(spark, d, "customer", "c_mktsegment", "c_acctbal").groupBy("c_mktsegment").agg(
-        F.count("*").alias("n"), F.round(F.median(x), 6).alias("middle"), F.round(F.stddev_samp(x), 4).alias("dev"), F.round(F.stddev_pop(x), 4).alias("dev_pop"), F.round(100 * F.avg((x < 0).cast("double")), 6).alias("pct_negative")
+    x, rows = F.col("c_acctbal"), table(spark, d, "customer", "c_mktsegment", "c_acctbal")
+    spread = rows.groupBy("c_mktsegment").agg(
+        F.count("*").alias("n"), F.round(F.stddev_samp(x), 4).alias("dev"), F.round(F.stddev_pop(x), 4).alias("dev_pop"), F.round(100 * F.avg((x < 0).cast("double")), 6).alias("pct_negative")
     )
+    middle = group_medians(rows, ["c_mktsegment"], "c_acctbal", "middle").withColumn("middle", F.round("middle", 6))
+    return spread.join(middle, "c_mktsegment").select("c_mktsegment", "n", "middle", "dev", "dev_pop", "pct_negative")
 
 
 @book.query("select l_returnflag, round(corr(l_quantity, l_extendedprice), 6) as r, count(*) as n from lineitem group by 1")
@@ -119,7 +121,7 @@ def coverage_by_year_target(spark: SparkSession, d: str) -> DataFrame:
 @book.query("select o_orderkey, cast(year(o_orderdate) as int) as year, case when row_number() over (partition by year(o_orderdate) order by o_totalprice desc, o_orderkey) <= floor(0.1 * count(*) over (partition by year(o_orderdate)) + 0.5) then 1 else 0 end as chosen from orders")
 def top_fraction_per_year(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders", "o_orderkey", F.year("o_orderdate").alias("year"), "o_totalprice")
-    return o.withColumn("chosen", top_fraction(o, ["year"], 0.1, F.col("o_totalprice").desc(), F.col("o_orderkey").asc())).drop("o_totalprice")
+    return choose_top(o, ["year"], 0.1, "o_totalprice", ["o_orderkey"], "chosen").drop("o_totalprice")
 
 
 @book.query("select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 5")
@@ -171,11 +173,29 @@ def constant_columns(spark: SparkSession, d: str) -> DataFrame:
     return audit.constant_columns(table(spark, d, "player_core", "season", "height", "weight", "age"), ["season", "height", "weight", "age"])
 
 
-@book.query("select column_name as name, case when column_name = 'drafted' then 'target' when column_name in ('event_id', 'nba_player_id', 'draft_year', 'player_name') then 'key' when column_name like 'combine_derived%' then 'combine_derived' when column_name like 'combine%' then 'combine' when column_name like 'college%' then 'college' else 'feature' end as role from (describe draft_classification)")
+def _group_sql(rules: tuple[audit.NameRule, ...]) -> str:
+    tests = []
+    for r in rules:
+        parts = [f"lower(column_name) in ({', '.join(repr(n) for n in r.names)})"] if r.names else []
+        parts += [f"starts_with(lower(column_name), '{x}')" for x in r.starts] + [f"suffix(lower(column_name), '{x}')" for x in r.ends] + [f"contains(lower(column_name), '{x}')" for x in r.parts]
+        tests.append(f"when {' or '.join(parts)} then '{r.meaning}'")
+    return "case " + " ".join(tests) + " else {} end"
+
+
+@book.query("select column_name as name, " + _group_sql(audit.FEATURE_GROUPS).format("'feature'") + " as role from (describe draft_classification)")
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     return audit.feature_manifest(table(spark, d, "draft_classification")).select("name", "role")
 
 
+@book.query("select column_name as name, " + _group_sql(audit.LEAKAGE).format("null") + " as gives_away from (describe player_season_from_box) union all select column_name, " + _group_sql(audit.LEAKAGE).format("null") + " from (describe draft_classification)")
+def leakage_report(spark: SparkSession, d: str) -> DataFrame:
+    """What the columns of both tables would give away as features."""
+    from quillspan.operators.aggregates import union_all
+
+    parts = [audit.feature_manifest(table(spark, d, t)).select("name", audit.first_meaning(F.col("name"), audit.LEAKAGE).alias("gives_away")) for t in ("player_season_from_box", "draft_classification")]
+    return union_all(parts)
+
+
 @book.query("select cast(load_id as bigint) as load_id, count(*) as n_rows, count(distinct nba_player_id) as n_keys, count(nba_player_id) - count(distinct nba_player_id) as n_repeated, count(*) filter (where weight is not null or wingspan is not null or standing_reach is not null) as n_measured from combine_anthro group by 1")
 def file_coverage(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "combine_anthro", F.col("load_id").cast("bigint").alias("load_id"), "nba_player_id", "weight", "wingspan", "standing_reach")

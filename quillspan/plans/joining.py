@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.functions.scalars import clean_id, compact_name, split_qualifier
+from quillspan.functions.scalars import any_alias, clean_id, compact_name, split_qualifier
 from quillspan.operators import audit
 from quillspan.operators.aggregates import union_all
 from quillspan.operators.joins import existence_flag, identity_tiers, key_membership, latest_per, merge_rosters, purge_groups, symmetric_difference, usual_mapping, validated_join
@@ -195,9 +195,78 @@ def draft_roster(spark: SparkSession, d: str) -> DataFrame:
     return latest_per(e, ["player"], F.col("draft_year").asc(), F.col("event_id").asc()).select("player", "draft_year", "event_id")
 
 
-@book.query("select part.p_partkey, regexp_replace(part.p_name, '\\s*\\([^()]*\\)\\s*$', '') as base, regexp_replace(lower(regexp_replace(part.p_name, '\\s*\\([^()]*\\)\\s*$', '')), '[^a-z0-9]+', '', 'g') as base_compact, '' as qualifier_compact from part")
+_TYPED = "t as (select event_id, player_name || ' (' || organization || ')' as typed from draft_classification where player_name is not null and organization is not null)"
+
+
+@book.query(f"""with {_TYPED}, q as (select event_id, trim(regexp_replace(typed, '\\s*\\([^()]*\\)\\s*$', '')) as base, regexp_extract(typed, '\\s*\\(([^()]*)\\)\\s*$', 1) as qualifier from t)
+select event_id, base, {_NAME.format('base')} as base_compact, {_NAME.format('qualifier')} as qualifier_compact from q""")
 def qualifier_split(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part", "p_partkey", split_qualifier("p_name").alias("q")).select("p_partkey", "q.*")
+    e = table(spark, d, "draft_classification", "event_id", "player_name", "organization").dropna()
+    return e.select("event_id", split_qualifier(F.concat("player_name", F.lit(" ("), "organization", F.lit(")"))).alias("q")).select("event_id", "q.*")
+
+
+@book.query(f"""with {_TYPED}, e as (select d.event_id, {sql_id('college_espn_id')} as athlete, {_NAME.format('organization')} as q, {_NAME.format("regexp_replace(lower(organization), 'university|univ|state|tech', ' ', 'g')")} as short from draft_classification d join t using (event_id)),
+b as (select distinct {sql_id('athlete_id')} as athlete, {_NAME.format('team_display_name')} as team from player_season_from_box where team_display_name is not null)
+select event_id, bool_or((q <> '' and contains(team, q)) or (short <> '' and contains(team, short))) as any_alias from e join b using (athlete) group by event_id""")
+def alias_match(spark: SparkSession, d: str) -> DataFrame:
+    """Whether any alias of an event's organisation occurs in a team of its athlete."""
+    e = table(spark, d, "draft_classification", "event_id", "college_espn_id", "player_name", "organization").where("organization is not null and player_name is not null")
+    short = F.regexp_replace(F.lower("organization"), "university|univ|state|tech", " ")
+    e = e.select("event_id", clean_id("college_espn_id").alias("athlete"), F.array(compact_name("organization"), compact_name(short)).alias("aliases"))
+    b = table(spark, d, "player_season_from_box", "athlete_id", "team_display_name").where("team_display_name is not null")
+    b = b.select(clean_id("athlete_id").alias("athlete"), compact_name("team_display_name").alias("team")).distinct()
+    return e.join(b, "athlete").groupBy("event_id").agg(F.max(any_alias(F.col("team"), F.col("aliases"))).alias("any_alias"))
+
+
+@book.query(f"""with r as (select event_id, {sql_id('nba_player_id')} as player, draft_year, cast(drafted as int) as drafted from draft_classification),
+o as (select distinct player, draft_year from r where drafted = 1 and player is not null and draft_year is not null)
+select r.draft_year, count(*) as n_rows, count(*) filter (where r.drafted is distinct from case when o.player is null then 0 else 1 end) as n_differing, cast(0 as bigint) as n_stray_outcomes
+from r left join o on o.player = r.player and o.draft_year = r.draft_year group by r.draft_year""")
+def target_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each year whose target differs from that of their player and year in any row."""
+    rows = table(spark, d, "draft_classification", "event_id", "nba_player_id", "draft_year", F.col("drafted").cast("int").alias("drafted")).withColumn("player", clean_id("nba_player_id"))
+    return audit.target_integrity(rows, rows.where("drafted = 1"), ["player", "draft_year"], "drafted", "draft_year")
+
+
+def _checks() -> dict[str, tuple[str, str]]:
+    """Check: (table, condition of a bad row), in an SQL that both engines read alike."""
+    return {
+        "season rows have an athlete": ("player_season_from_box", "athlete_id is null or trim(athlete_id) = ''"),
+        "season rows have a season": ("player_season_from_box", "season is null"),
+        "games started within games played": ("player_season_from_box", "games_started > games_played"),
+        "field goals made within attempted": ("player_season_from_box", "field_goals_made > field_goals_attempted"),
+        "three pointers made within attempted": ("player_season_from_box", "three_point_field_goals_made > three_point_field_goals_attempted"),
+        "three pointers within field goals": ("player_season_from_box", "three_point_field_goals_attempted > field_goals_attempted"),
+        "free throws made within attempted": ("player_season_from_box", "free_throws_made > free_throws_attempted"),
+        "shares between 0 and 1": ("player_season_from_box", "fg_pct < 0 or fg_pct > 1 or ft_pct < 0 or ft_pct > 1"),
+        "totals are not negative": ("player_season_from_box", "minutes < 0 or points < 0 or rebounds < 0 or assists < 0"),
+        "body fat is a percentage": ("combine_anthro", "not isnan(body_fat_pct) and (body_fat_pct < 0 or body_fat_pct > 100)"),
+        "measured players have an id": ("combine_anthro", "nba_player_id is null or trim(nba_player_id) = ''"),
+        "targets are 0 or 1": ("draft_classification", "drafted is null or drafted not in (0, 1)"),
+        "events have a time": ("draft_classification", "event_at is null"),
+        "listed ages are plausible": ("player_core", "age < 14 or age > 45"),
+    }
+
+
+#: Checks whose failures are warnings.
+TOLERATED = ("measured players have an id", "season rows have an athlete", "listed ages are plausible")
+
+
+@book.query("\nunion all ".join(
+    f"select '{name}' as check_name, (select count(*) from {t}) as n_rows, (select count(*) from {t} where {bad}) as n_bad, case when (select count(*) from {t} where {bad}) = 0 then 'PASS' else '{'WARN' if name in TOLERATED else 'FAIL'}' end as verdict"
+    for name, (t, bad) in _checks().items()
+))
+def domain_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of four tables with a verdict; each table is read once."""
+    by_table: dict[str, dict] = {}
+    for name, (t, bad) in _checks().items():
+        by_table.setdefault(t, {})[name] = F.expr(bad)
+    parts = []
+    for t, checks in by_table.items():
+        found = audit.violations(spark.read.parquet(f"{d}/{t}.parquet"), {f"c{i}": c for i, c in enumerate(checks.values())})
+        names = F.create_map(*[F.lit(x) for i, name in enumerate(checks) for x in (f"c{i}", name)])
+        parts.append(found.select(names[F.col("check")].alias("check_name"), "n_rows", "n_bad"))
+    return audit.verdicts(union_all(parts), TOLERATED)
 
 
 QUERIES, SQL = book.queries, book.sql

@@ -13,7 +13,7 @@ from quillspan.ml.models import fit_calibrator, fit_classifier, fit_model, impor
 from quillspan.ml.prepare import learn, prepare_table
 from quillspan.ml.splits import SplitBounds, named_split
 from quillspan.ml.tuning import candidates
-from quillspan.operators.windows import top_fraction
+from quillspan.operators.windows import choose_top, ordered_rank
 from quillspan.plans.base import Book
 from quillspan.sources.tables import table
 
@@ -96,11 +96,9 @@ def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @book.query(f"with {_SCORED} select event_id, draft_year, cast(p >= 0.5 as int) as chosen, case when row_number() over (partition by draft_year order by p desc, event_id) <= floor(0.6 * count(*) over (partition by draft_year) + 0.5) then 1 else 0 end as chosen_of_year, row_number() over (partition by draft_year order by p desc, event_id) as rank_within_year from x")
 def prediction_table(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    x = _scored(spark, d)
-    order = (F.col("p").desc(), F.col("event_id").asc())
-    return x.select("event_id", "draft_year", (F.col("p") >= 0.5).cast("int").alias("chosen"), top_fraction(x, ["draft_year"], 0.6, *order).alias("chosen_of_year"), F.row_number().over(Window.partitionBy("draft_year").orderBy(*order)).cast("bigint").alias("rank_within_year"))
+    x = choose_top(_scored(spark, d), ["draft_year"], 0.6, "p", ["event_id"], "chosen_of_year")
+    x = ordered_rank(x, ["draft_year"], "p", ["event_id"], "rank_within_year")
+    return x.select("event_id", "draft_year", (F.col("p") >= 0.5).cast("int").alias("chosen"), "chosen_of_year", F.col("rank_within_year").cast("bigint").alias("rank_within_year"))
 
 
 _REG = "z as (select core_row_id, season, weight as y, 5.0 * height - 190.0 as p from player_core where weight is not null and height between 60 and 96)"

@@ -206,4 +206,65 @@ def pip_enriched(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_WIDE = f"""{ATHLETE_SQL}, {ANCHORS_SQL}, g as (select a.anchor, t.* from a join t using (athlete) where season between anchor - 6 and anchor),
+c as (select athlete, count(*) as n_seasons, max(season) - min(season) + 1 as span, {', '.join(f'sum({c}) as {c}' for c in TOTALS)} from g group by athlete),
+l as (select * from g qualify row_number() over (partition by athlete order by season desc) = 1),
+cr as (select athlete, n_seasons, span, {', '.join(f'{x} as {n}' for n, x in RATES_SQL.items())} from c),
+lr as (select athlete, anchor - season as season_gap, {', '.join(f'{x} as {n}' for n, x in RATES_SQL.items())} from l),
+f as (select cr.athlete, n_seasons, cast(span as bigint) as span, season_gap, {', '.join(f'round(cr.{n}, 6) as college_career_{n}, round(lr.{n}, 6) as college_last_{n}, round(lr.{n} - cr.{n}, 6) as college_delta_{n}' for n in RATES_SQL)} from cr join lr using (athlete))"""
+
+
+def _wide_features(spark: SparkSession, d: str) -> DataFrame:
+    """Per college athlete up to the first draft year: career, last season and their difference in every rate."""
+    history = band_join(anchors(spark, d), athlete_seasons(spark, d), ["athlete"], "anchor", "season", -6, 0)
+    sums = [F.sum(c).alias(c) for c in TOTALS]
+    latest = F.max_by(F.struct(*TOTALS, "season", "anchor"), "season").alias("latest")
+    rows = history.groupBy("athlete").agg(F.count("*").alias("n_seasons"), (F.max("season") - F.min("season") + 1).cast("bigint").alias("span"), *sums, latest)
+    career, last = rates(), rates("latest.")
+    columns = [F.round(x, 6).alias(f"college_{kind}_{n}") for n in career for kind, x in (("career", career[n]), ("last", last[n]), ("delta", last[n] - career[n]))]
+    return rows.select("athlete", "n_seasons", "span", (F.col("latest.anchor") - F.col("latest.season")).alias("season_gap"), *columns)
+
+
+_EVENT_SQL = "e as (select event_id, draft_year, cast(drafted as int) as drafted, " + """case when lower(regexp_replace(trim(college_espn_id), '[.]0$', '')) not in ('', 'nan', 'none', '<na>') then regexp_replace(trim(college_espn_id), '[.]0$', '') end as athlete,
+ round(combine_wingspan - combine_height_wo_shoes, 6) as combine_derived_reach, round(703 * combine_weight / nullif(combine_height_wo_shoes * combine_height_wo_shoes, 0), 6) as combine_derived_bmi, college_age_on_july_1 as age_on_july_1 from draft_classification)"""
+
+
+@book.query(f"with {_WIDE}, {_EVENT_SQL} select event_id, draft_year, drafted, combine_derived_reach, combine_derived_bmi, age_on_july_1, case when f.athlete is null then 0 else 1 end as has_college_data, f.* exclude (athlete) from e left join f on f.athlete = e.athlete")
+def pip_enriched_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The classification table with all rates of career, last season and development."""
+    from quillspan.functions.scalars import clean_id
+
+    events = table(spark, d, "draft_classification", "event_id", "draft_year", "drafted", "college_espn_id", "combine_wingspan", "combine_height_wo_shoes", "combine_weight", "college_age_on_july_1")
+    height = F.col("combine_height_wo_shoes")
+    events = events.select(
+        "event_id", "draft_year", F.col("drafted").cast("int").alias("drafted"), clean_id("college_espn_id").alias("athlete"), F.round(F.col("combine_wingspan") - height, 6).alias("combine_derived_reach"),
+        F.round(safe_divide(703 * F.col("combine_weight"), height * height), 6).alias("combine_derived_bmi"), F.col("college_age_on_july_1").alias("age_on_july_1"),
+    )
+    feats = _wide_features(spark, d).withColumn("has", F.lit(1))  # one row an athlete: it is grouped by it
+    return events.join(feats, "athlete", "left").withColumn("has_college_data", F.coalesce("has", F.lit(0))).drop("has", "athlete")
+
+
+@book.query(f"""with {_WIDE}, {_EVENT_SQL},
+r as (select {"case when lower(regexp_replace(trim(nba_player_id), '[.]0$', '')) not in ('', 'nan', 'none', '<na>') then regexp_replace(trim(nba_player_id), '[.]0$', '') end"} as player, event_id from draft_classification where drafted = 1),
+k as (select player, e.* from r join e using (event_id) where player is not null qualify row_number() over (partition by player order by draft_year, event_id) = 1),
+o as (select athlete, sum(coalesce(minutes, 0)) as minutes_3y, sum(coalesce(points, 0)) as points_3y from a join t using (athlete) where season >= anchor and season < anchor + 3 group by athlete)
+select player, event_id, draft_year, combine_derived_reach, combine_derived_bmi, case when f.athlete is null then 0 else 1 end as has_college_data, n_seasons, college_career_points_per_40, college_last_points_per_40, college_delta_points_per_40, college_career_ts_pct, college_last_ts_pct,
+  coalesce(minutes_3y, 0) as minutes_3y, coalesce(points_3y, 0) as points_3y from k left join f on f.athlete = k.athlete left join o on o.athlete = k.athlete""")
+def pip_drafted_players(spark: SparkSession, d: str) -> DataFrame:
+    """One row per drafted player: first draft, measurements, college features and the outcome of three seasons."""
+    from quillspan.functions.scalars import clean_id
+
+    ids = table(spark, d, "draft_classification", "event_id", clean_id("nba_player_id").alias("player"))
+    rows = pip_enriched_wide(spark, d).where("drafted = 1").join(ids.where("player is not null"), "event_id")
+    rows = latest_per(rows, ["player"], F.col("draft_year").asc(), F.col("event_id").asc())
+    college = table(spark, d, "draft_classification", "event_id", clean_id("college_espn_id").alias("athlete"))
+    outcome = forward_outcome_3y(spark, d).select("athlete", "minutes_3y", "points_3y")
+    rows = rows.join(college, "event_id").join(outcome, "athlete", "left")
+    return rows.select(
+        "player", "event_id", "draft_year", "combine_derived_reach", "combine_derived_bmi", "has_college_data", "n_seasons",
+        *[f"college_{k}_points_per_40" for k in ("career", "last", "delta")], "college_career_ts_pct", "college_last_ts_pct",
+        F.coalesce("minutes_3y", F.lit(0.0)).alias("minutes_3y"), F.coalesce("points_3y", F.lit(0.0)).alias("points_3y"),
+    )
+
+
 QUERIES, SQL = book.queries, book.sql

@@ -1,53 +1,86 @@
 """Splits, folds, purging, coercion, metrics, calibration and tuning."""
 
+import json
 import math
 import random
+import statistics
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan.ml import metrics, tuning
-from quillspan.ml.models import check_config, fit_calibrator, fit_classifier, fit_model, importance, top_features
+from quillspan.ml.models import check_config, fit_calibrator, fit_classifier, fit_model, fit_regressor, importance, load_config, top_features
 from quillspan.ml.prepare import learn, prepare_table
 from quillspan.ml.splits import SplitBounds, chronological_split, expanding_folds, fold_parts
-from quillspan.operators.audit import leakage_reason
+from quillspan.operators.audit import first_existing, leaking
 from quillspan.operators.joins import purge_groups
-from quillspan.operators.windows import average_rank, top_fraction
+from quillspan.operators.windows import average_rank, choose_top, exact_medians, group_medians, ordered_rank
 
 
-def test_split_bounds_and_sizes(spark):
+def test_parts_follow_the_bounds(spark):
+    rnd = random.Random(21)
+    years = [rnd.randint(1990, 2009) for _ in range(300)]
+    bounds = SplitBounds("season", 1999, 2001, 2003, 2005, 2008)
+    parts = chronological_split(spark.createDataFrame([(y,) for y in years], "season int"), bounds)
+    want = {"train": sum(y <= 1999 for y in years), "validation": sum(2001 <= y <= 2003 for y in years), "test": sum(2005 <= y <= 2008 for y in years)}
+    assert {k: v.count() for k, v in parts.items()} == want
     with pytest.raises(ValueError):
-        SplitBounds("year", 2018, 2018, 2018, 2019, 2020)
-    df = spark.createDataFrame([(2017, 1), (2018, 0), (2019, 1), (2020, 0)], "year int, drafted int")
-    parts = chronological_split(df, SplitBounds("year", 2017, 2018, 2019, 2020, 2020))
-    assert {k: v.count() for k, v in parts.items()} == {"train": 1, "validation": 2, "test": 1}
-    with pytest.raises(ValueError):
-        chronological_split(df.where("year < 2020"), SplitBounds("year", 2017, 2018, 2019, 2020, 2020))
-
-
-def test_purge_removes_overlapping_groups_only(spark):
-    first = spark.createDataFrame([("a", 1), ("b", 0), ("c", 1), (None, 1)], "g string, y int")
-    later = spark.createDataFrame([("a", 1), ("d", 0), (None, 0)], "g string, y int")
-    assert sorted(str(r["g"]) for r in purge_groups(first, later, "g").collect()) == ["None", "b", "c"]
-
-
-def test_expanding_folds_purge_and_stop_before_test(spark):
-    ids, years = list("abcdaecfgh"), [2010, 2010, 2011, 2011, 2012, 2012, 2013, 2013, 2014, 2014]
-    df = spark.createDataFrame(list(zip(ids, years)), "g string, year int")
-    folds = expanding_folds([{"train_end": 2011, "validation_start": 2012, "validation_end": 2012}, {"train_end": 2012, "validation_start": 2013, "validation_end": 2013}], "year", 2014)
-    sizes = [(df.where(F.col("year") <= f[0]).count() - fold_parts(df, "year", f, "g")[0].count()) for f in folds]
-    assert sizes == [1, 1]
-    with pytest.raises(ValueError):
-        expanding_folds([{"train_end": 2012, "validation_start": 2013, "validation_end": 2014}], "year", 2014)
-
-
-def test_coercion(spark):
-    df = spark.createDataFrame([("100", "5.5", 1), ("200", "bad", 0), ("inf", "NaN", None)], "minutes string, points string, y int")
-    rows = prepare_table(df, "y", ["minutes", "points"], []).collect()
-    assert [(r["minutes"], r["points"]) for r in rows] == [(100.0, 5.5), (200.0, None)]
+        chronological_split(spark.createDataFrame([(1995,), (2002,)], "season int"), bounds)
+    for wrong in ((2001, 2001, 2003, 2005, 2008), (1999, 2004, 2003, 2005, 2008), (1999, 2001, 2005, 2005, 2008), (1999, 2001, 2003, 2009, 2008)):
+        with pytest.raises(ValueError):
+            SplitBounds("season", *wrong)
+
+
+def test_purge_equals_brute_force(spark):
+    rnd = random.Random(5)
+    earlier, later = ([(rnd.choice([None, *range(12)]), i) for i in range(n)] for n in (60, 8))
+    seen = {g for g, _ in later if g is not None}
+    got = purge_groups(spark.createDataFrame(earlier, "team int, i int"), spark.createDataFrame(later, "team int, i int"), "team").collect()
+    assert sorted(r["i"] for r in got) == [i for g, i in earlier if g not in seen]
+
+
+def test_folds_expand_and_purge(spark):
+    rnd = random.Random(13)
+    rows = [(rnd.randint(0, 40), rnd.randint(1980, 1992)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "team int, season int")
+    spec = [{"train_end": e, "validation_start": e + 1, "validation_end": e + 2} for e in (1983, 1985, 1987)]
+    for (end, first, last), part in zip(expanding_folds(spec, "season", 1991), spec):
+        assert (end, first, last) == (part["train_end"], part["validation_start"], part["validation_end"])
+        training, validation = fold_parts(df, "season", (end, first, last), "team")
+        held = {t for t, y in rows if first <= y <= last}
+        assert validation.count() == sum(first <= y <= last for _, y in rows)
+        assert training.count() == sum(y <= end and t not in held for t, y in rows)
+    for wrong in ([{"train_end": 1990, "validation_start": 1991, "validation_end": 1991}], [spec[1], spec[0]], []):
+        with pytest.raises(ValueError):
+            expanding_folds(wrong, "season", 1991)
+
+
+def test_coercion_of_texts(spark):
+    texts = {"7": 7.0, " 2.5 ": 2.5, "-1e2": -100.0, "seven": None, "": None, "nan": None, "-Infinity": None, None: None}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, reach string").withColumn("won", F.when(F.col("i") != 3, 1.0))
+    rows = prepare_table(df, "won", ["reach"], [], keep=["i"]).collect()
+    assert {r["i"]: r["reach"] for r in rows} == {i: v for i, v in enumerate(texts.values()) if i != 3}
     with pytest.raises(Exception):
-        prepare_table(df, "y", ["points"], [], strict=True).collect()
+        prepare_table(df.withColumn("won", F.lit(1.0)), "won", ["reach"], [], strict=True).collect()
+
+
+def test_medians_and_ranks_equal_brute_force(spark):
+    rnd = random.Random(17)
+    rows = [(i, rnd.choice("abc"), rnd.choice([None, *[k / 4 for k in range(9)]])) for i in range(157)]
+    df = spark.createDataFrame(rows, "i int, g string, x double")
+    for g, m in ((r["g"], r["m"]) for r in group_medians(df, ["g"], "x", "m").collect()):
+        assert m == statistics.median(x for _, k, x in rows if k == g and x is not None)
+    assert exact_medians(df.where("g = 'a'").withColumn("none", F.lit(None).cast("double")), ["x", "none"]) == {"x": statistics.median(x for _, k, x in rows if k == "a" and x is not None), "none": None}
+    want = {}
+    for g in "abc":
+        for place, (i, _, _) in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0])), 1):
+            want[i] = place
+    assert {r["i"]: r["place"] for r in ordered_rank(df, ["g"], "x", ["i"], "place").collect()} == want
+    for fraction in (0.0, 0.13, 1 / 3, 0.5, 1.0):
+        size = {g: math.floor(fraction * sum(r[1] == g for r in rows) + 0.5) for g in "abc"}
+        got = {r["i"]: r["top"] for r in choose_top(df, ["g"], fraction, "x", ["i"], "top").collect()}
+        assert got == {i: int(want[i] <= size[g]) for i, g, _ in rows}
 
 
 def test_null_and_unseen_categories(spark):
@@ -67,10 +100,18 @@ def test_perfect_ranking_and_one_class(spark):
     assert row["roc_auc"] is None
 
 
-def test_macro_normalized_ap(spark):
-    rows = [(0, 0.1, 2020), (1, 0.9, 2020), (0, 0.9, 2021), (0, 0.8, 2021), (1, 0.7, 2021), (1, 0.6, 2021)]
-    df = spark.createDataFrame(rows, "y int, p double, year int")
-    assert math.isclose(metrics.macro_normalized_ap(df, "y", "p", "year").first()[0], 5 / 12)
+def test_macro_normalized_ap_equals_brute_force(spark):
+    rnd = random.Random(31)
+    rows = [(rnd.randint(0, 1), rnd.randint(0, 9) / 9, 1990 + rnd.randint(0, 4)) for _ in range(150)] + [(1, 0.4, 2000), (1, 0.2, 2000)]
+    gains = []
+    for year in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == year]
+        share = sum(y for y, _, _ in own) / len(own)
+        if 0 < share < 1:
+            ap = sum(sum(y for y, q, _ in own if q >= p) / sum(1 for _, q, _ in own if q >= p) for y, p, _ in own if y) / (share * len(own))
+            gains.append((ap - share) / (1 - share))
+    row = metrics.macro_normalized_ap(spark.createDataFrame(rows, "y int, p double, year int"), "y", "p", "year").first()
+    assert math.isclose(row[0], sum(gains) / len(gains)) and row["n_years"] == len(gains)
 
 
 def test_ranking_with_ties_equals_brute_force(spark):
@@ -83,14 +124,6 @@ def test_ranking_with_ties_equals_brute_force(spark):
     assert math.isclose(row["roc_auc"], auc) and math.isclose(row["average_precision"], ap)
 
 
-def test_top_fraction_is_stable(spark):
-    df = spark.createDataFrame([(0, 0.10, 2020), (1, 0.80, 2021), (2, 0.90, 2020), (3, 0.20, 2021), (4, 0.70, 2021)], "i int, p double, year int")
-    out = df.withColumn("c", top_fraction(df, ["year"], 0.5, F.col("p").desc(), F.col("i").asc())).orderBy("i").collect()
-    assert [r["c"] for r in out] == [0, 1, 1, 0, 1]
-    tied = spark.createDataFrame([(0, 0.8), (1, 0.8), (2, 0.1)], "i int, p double").withColumn("g", F.lit(1))
-    assert [r["c"] for r in tied.withColumn("c", top_fraction(tied, ["g"], 1 / 3, F.col("p").desc(), F.col("i").asc())).orderBy("i").collect()] == [1, 0, 0]
-
-
 def test_average_rank_equals_pandas(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice("ab"), rnd.choice([None, 1.0, 2.0, 2.0, 5.0])) for i in range(60)]
@@ -100,15 +133,20 @@ def test_average_rank_equals_pandas(spark):
         assert (r["r"] is None and pd.isna(w)) or math.isclose(r["r"], w)
 
 
-def test_calibration_is_monotone_and_better(spark):
-    rows = [(0, 0.45 + i / 100) for i in range(5)] + [(1, 0.51 + i / 100) for i in range(5)]
+def test_calibration_recovers_the_slope(spark):
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(4000):
+        raw = rnd.random() * 0.9 + 0.05
+        true = 1 / (1 + math.exp(-(0.5 * math.log(raw / (1 - raw)) - 0.7)))
+        rows.append((int(rnd.random() < true), raw))
     df = spark.createDataFrame(rows, "y int, raw_model_score double")
-    slope, intercept = fit_calibrator(df, "y", 100.0)
-    assert slope > 0
-    scale = lambda p: 1 / (1 + math.exp(-(slope * math.log(p / (1 - p)) + intercept)))
-    assert sum((scale(p) - y) ** 2 for y, p in rows) < sum((p - y) ** 2 for y, p in rows)
+    slope, intercept = fit_calibrator(df, "y", 1e6)
+    assert abs(slope - 0.5) < 0.1 and abs(intercept + 0.7) < 0.1
     with pytest.raises(ValueError):
-        fit_calibrator(df.where("y = 1"), "y")
+        fit_calibrator(df.where("y = 0"), "y")
+    with pytest.raises(Exception, match="not finite"):
+        fit_calibrator(df.withColumn("raw_model_score", F.lit(float("nan"))), "y")
 
 
 CONFIG = {
@@ -157,6 +195,31 @@ def test_regression_with_log_target(spark):
     assert scored.agg(metrics.regression(F.col("y"), F.col("predicted"))["r2"]).first()[0] > 0.95
 
 
+def test_regression_workflow(spark):
+    rnd = random.Random(12)
+    df = spark.createDataFrame([(2000 + i % 12, (x := rnd.random() * 3), math.exp(x) + rnd.random()) for i in range(480)], "season int, x double, y double")
+    config = {"target": "y", "numerical_features": ["x"], "categorical_features": [], "split": {"column": "season", "train_end": 2006, "validation_start": 2007, "validation_end": 2008, "test_start": 2009, "test_end": 2011}, "model": {"name": "ridge", "hyperparameters": {"alpha": 0.1}}}
+    made, found = fit_regressor(df, config)
+    assert set(found) == {"train", "validation", "test"} and all(m["r2"] > 0.9 for m in found.values()) and sum(m["n"] for m in found.values()) == 480 and made.log_target
+    with pytest.raises(ValueError, match="above -1"):
+        fit_regressor(df.withColumn("y", F.col("y") - 10), config)
+
+
+def test_metric_of_a_search(spark):
+    named = {**CONFIG, "tuning": {**CONFIG["tuning"], "metric": None, "selection_metric": "macro_normalized_average_precision"}}
+    assert tuning.selection_metric(named) == "macro_normalized_ap" and tuning.selection_metric(CONFIG) == "roc_auc"
+    with pytest.raises(ValueError):
+        tuning.selection_metric({**CONFIG, "tuning": {"metric": "rmse"}})
+    one = _rows(spark).where("draft_year <> 2011 or drafted = 1")
+    with pytest.raises(ValueError, match="one class"):
+        tuning.tune(one, CONFIG)
+
+
+def test_first_existing_column(spark):
+    df = spark.createDataFrame([], "Season int, team string")
+    assert first_existing(df, "year", "season", "team") == "Season" and first_existing(df, "x") is None
+
+
 def test_configuration_and_leaks(tmp_path):
     with pytest.raises(ValueError):
         check_config({**CONFIG, "numerical_features": ["x", "x"]})
@@ -166,7 +229,16 @@ def test_configuration_and_leaks(tmp_path):
         check_config({**CONFIG, "numerical_features": ["nba_minutes"]})
     with pytest.raises(ValueError):
         check_config({k: v for k, v in CONFIG.items() if k != "model"})
-    assert leakage_reason("athlete_id") == "identifier" and leakage_reason("weight") is None
-    (tmp_path / "a.json").write_text("{}")
+    with pytest.raises(ValueError):
+        check_config({**CONFIG, "numerical_features": []})
+    with pytest.raises(ValueError):
+        check_config({**CONFIG, "numerical_features": "x"})
+    found = leaking(["weight", "Organization", "has_college_data", "x_season", "some_name", "how_match_method", "combine_wingspan", "nba_anything"])
+    assert set(found) == {"Organization", "has_college_data", "x_season", "some_name", "how_match_method", "nba_anything"} and found["x_season"] == "the calendar"
+    (tmp_path / "a.json").write_text(json.dumps(CONFIG))
+    with pytest.raises(ValueError, match="data_path"):
+        load_config(tmp_path / "a.json")
+    (tmp_path / "b.json").write_text(json.dumps({**CONFIG, "data_path": "x"}))
+    assert load_config(tmp_path / "b.json")["target"] == "drafted"
     with pytest.raises(ValueError):
         tuning.protect_source(tmp_path / "a.json", tmp_path / "." / "a.json")
