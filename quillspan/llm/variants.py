@@ -17,6 +17,8 @@ where one of these holds, and these cells lose nothing that verification would a
 * an organisation and a year missing: over all names.
 
 No word is too short, too long or too common to be a key, and nothing depends on the number of rows.
+Short forms of given names are not listed but learned: words that often stand beside the same surname in one
+organisation and year.
 Pairs are verified by Monge-Elkan similarity of the names and by their attributes, and links
 become stars around the best connected profiles.
 
@@ -40,15 +42,6 @@ from pyspark.sql import functions as F
 from quillspan.functions.scalars import NAME_SUFFIXES, fold_accents
 from quillspan.session import cut_lineage
 
-# Short forms of given names that share no beginning with the full form.
-SHORT_FORMS = {
-    "bill": "william", "bob": "robert", "dick": "richard", "ted": "theodore", "teddy": "theodore", "jim": "james", "jimmy": "james", "jack": "john", "chuck": "charles", "hank": "henry",
-    "larry": "lawrence", "harry": "harold", "tony": "anthony", "drew": "andrew", "andy": "andrew", "gus": "augustus", "memo": "guillermo", "zay": "isaiah", "hannes": "johannes", "xander": "alexander",
-    "sasha": "aleksandar", "misha": "mikhail", "nate": "nathaniel", "ned": "edward", "rick": "richard", "rob": "robert", "bobby": "robert", "billy": "william", "jerry": "gerald", "jerome": "gerald",
-    "mike": "michael", "nick": "nicholas", "nico": "nicholas", "kenny": "kenneth", "jake": "jacob", "joe": "joseph", "steve": "stephen", "dave": "david", "zack": "zachary", "ibo": "ibrahim",
-    "reggie": "reginald", "monty": "montgomery", "pancho": "francisco", "paco": "francisco", "nacho": "ignacio", "vova": "vladimir", "slava": "stanislav", "liam": "william", "tim": "timothy", "greg": "gregory",
-}
-
 # Words of an organisation's name that do not tell it from others.
 ORG_WORDS = ("university", "univ", "of", "u", "ncaa", "the", "college", "club", "bc", "kk", "fc")
 
@@ -57,21 +50,16 @@ ORG_WORDS = ("university", "univ", "of", "u", "ncaa", "the", "college", "club",
 MOST_WORDS = 40
 
 
-def canonical(word: Column) -> Column:
-    """The full form of a known short form, else the word."""
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SHORT_FORMS.items() for x in kv]), word), word)
-
-
 def name_words(name: Column) -> Column:
-    """Lower-case words of a typed name: no accents, suffixes or quoted nicknames; look-alike
-    digits inside words are letters, known short forms are written out."""
+    """Lower-case words of a typed name, in order: no accents, suffixes or quoted nicknames; look-alike
+    digits inside words are letters."""
     text = F.regexp_replace(F.coalesce(name, F.lit("")), "[\"“”(][^\"“”()]*[\"“”)]", " ")
     text = F.lower(fold_accents(text))
     text = F.regexp_replace(text, "['’`]", "")
     words = F.split(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), " ")
     words = F.filter(F.transform(words, lambda w: F.when(w.rlike(r"\p{L}"), F.translate(w, "013458", "oleasb")).otherwise(w)), lambda w: w.rlike(r"\p{L}"))
     kept = F.filter(words, lambda w: ~w.isin(*NAME_SUFFIXES) | (F.length(w) == 1))
-    return F.array_sort(F.transform(F.when(F.size(kept) > 0, kept).otherwise(words), canonical))
+    return F.array_sort(F.when(F.size(kept) > 0, kept).otherwise(words))
 
 
 def org_core(name: Column) -> Column:
@@ -244,12 +232,44 @@ def position_agreement(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), 0.0).when(a == b, 0.7).when(parts, 0.3).otherwise(-1.0)
 
 
+def learned_forms(names: DataFrame, least: int = 3, share: float = 0.15) -> DataFrame:
+    """(word, full) of short and other forms of given names, learned from the names themselves.
+
+    ``names``: words, org, year.  Two words are forms of each other if they often stand beside the same other
+    word in the same organisation and year: in ``least`` such places with different other words or more, and
+    in ``share`` of all places of the rarer one.  A word follows the form it shares most places with, if that has more places.
+    """
+    two = names.where("size(words) = 2 and org is not null and year is not null")
+    sides = F.explode(F.array(*[F.struct(F.col("words")[i].alias("word"), F.col("words")[1 - i].alias("beside")) for i in (0, 1)])).alias("s")
+    places = two.select("org", "year", sides).select("org", "year", "s.*").where("length(word) >= 2 and length(beside) >= 3").distinct()
+    places = cut_lineage(places)
+    counts = places.groupBy("word").agg(F.count("*").alias("n"))
+    met = places.join(places.withColumnRenamed("word", "full"), ["org", "year", "beside"]).where("word <> full")
+    found = met.groupBy("word", "full").agg(F.count("*").alias("both"), F.countDistinct("beside").alias("others"))
+    found = found.where(F.col("others") >= least).join(counts, "word").join(counts.select(F.col("word").alias("full"), F.col("n").alias("n_full")), "full")
+    found = found.where((F.col("both") >= share * F.col("n")) & (F.col("n_full") > F.col("n")))
+    return cut_lineage(found.groupBy("word").agg(F.max_by("full", F.struct("both", "full")).alias("full")))
+
+
+def written_out(df: DataFrame, words: str, forms: DataFrame) -> DataFrame:
+    """``df`` with the short forms (word, full) in its arrays of sorted words written out.
+
+    Only names that hold one are written anew; a text of more than MOST_WORDS words stays as it is.
+    """
+    held = df.where(F.size(words) <= MOST_WORDS).select(words).distinct().select(words, F.explode(F.array_distinct(words)).alias("word"))
+    held = held.join(forms, "word").groupBy(words).agg(F.map_from_entries(F.collect_list(F.struct("word", "full"))).alias("_forms"))
+    full = F.array_sort(F.transform(words, lambda w: F.coalesce(F.try_element_at("_forms", w), w)))
+    return df.join(held, words, "left").withColumn(words, F.when(F.col("_forms").isNotNull(), full).otherwise(F.col(words))).drop("_forms")
+
+
 def profiles(rows: DataFrame) -> DataFrame:
     """(name_id, profile, words, org, year, position); ``profile`` is its smallest name_id.
 
     ``rows``: name_id, name, organization, year, position.
     """
     made = rows.select("name_id", name_words(F.col("name")).alias("words"), org_core(F.col("organization")).alias("org"), F.col("year").cast("int").alias("year"), F.nullif(F.upper(F.trim("position")), F.lit("")).alias("position"))
+    made = cut_lineage(made)
+    made = written_out(made, "words", learned_forms(made))
     parts = [F.array_join("words", " "), *[F.coalesce(F.col(k).cast("string"), F.lit("\x01")) for k in ("org", "year", "position")]]
     made = made.withColumn("key", F.concat_ws("\x1f", *parts))
     least = made.groupBy("key").agg(F.min("name_id").alias("profile"))
