@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,8 @@ def build_session(app: str = "quillspan", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # files of cut lineages go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     return builder.config(map=defaults | conf).getOrCreate()
 
@@ -39,7 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if not named and not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"quillspan-{uuid.uuid4().hex[:8]}-"))
+    if not named:
+        named = tempfile.mkdtemp(prefix=f"quillspan-{uuid.uuid4().hex[:8]}-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillspan.sources.sinks import collect_once, with_retry
@@ -59,3 +60,34 @@ def collect_endpoint(spark: SparkSession, endpoint: str, first: int, last: int,
     spark.dataSource.register(YearlyApi)
     load = lambda: spark.read.format("yearly_api").options(endpoint=endpoint, first=first, last=last, fetch=fetch, wait=wait).load()
     return collect_once(path, load, force)
+
+
+@dataclass(frozen=True)
+class Step:
+    """One endpoint of a collection and its years, which may reach beyond those asked for."""
+
+    endpoint: str
+    beyond: int = 0
+
+
+# The endpoints of a whole collection, in order; the crosswalk of identities reaches two
+# years beyond the last draft.
+COLLECTION = (
+    Step("drafthistory"), Step("draftcombinestats"), Step("draftcombineplayeranthro"), Step("draftcombinedrillresults"), Step("draftcombinespotshooting"), Step("draftcombinenonstationaryshooting"),
+    Step("leaguedashplayerstats"), Step("player_box"), Step("identity_crosswalk", beyond=2),
+)
+
+
+def collect_all(spark: SparkSession, first: int, last: int, fetch: str, folder: str, steps: Sequence[Step] = COLLECTION, force: bool = False, wait: float = 2.0, keep_going: bool = False) -> DataFrame:
+    """(endpoint, first, last, path, status) of each step; what is there already is kept.
+
+    A failure ends the collection unless ``keep_going``; the rest is then ``skipped``, and a later
+    call goes on from there.
+    """
+    rows, stopped = [], False
+    for step in steps:
+        path = f"{folder}/{step.endpoint}.parquet"
+        status = "skipped" if stopped else collect_endpoint(spark, step.endpoint, first, last + step.beyond, fetch, path, force, wait)
+        stopped = stopped or (status == "failed" and not keep_going)
+        rows.append((step.endpoint, first, last + step.beyond, path, status))
+    return spark.createDataFrame(rows, "endpoint string, first int, last int, path string, status string")

@@ -7,6 +7,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.sources.paths import list_paths
+
 PERIOD = r"((?:19|20)\d{2}(?:-\d{2})?)$"
 
 
@@ -47,14 +50,17 @@ class Dataset:
     def yearly(self, first: int | None = None, last: int | None = None) -> list[str]:
         """Paths of the yearly files in order; years outside the range are never opened."""
         out = []
-        for p in sorted(Path(self.folder).glob(f"{self.prefix}*{self.suffix}")):
-            m = re.search(PERIOD, p.stem)
-            if m and not is_rollup(p.name) and (first is None or int(m[1][:4]) >= first) and (last is None or int(m[1][:4]) <= last):
-                out.append(str(p))
+        for p in self._files():
+            m = re.search(PERIOD, Path(p).stem)
+            if m and not is_rollup(p) and (first is None or int(m[1][:4]) >= first) and (last is None or int(m[1][:4]) <= last):
+                out.append(p)
         return out
 
+    def _files(self) -> list[str]:
+        return list_paths(SparkSession.active(), f"{self.folder}/{self.prefix}*{self.suffix}")
+
     def rollup(self) -> str | None:
-        found = [str(p) for p in sorted(Path(self.folder).glob(f"{self.prefix}*{self.suffix}")) if is_rollup(p.name)]
+        found = [p for p in self._files() if is_rollup(p)]
         return found[0] if found else None
 
 
@@ -111,9 +117,11 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 def parquet_footer(path: str) -> dict:
     """Rows, columns, types and null counts from a file's footer alone."""
+    import pyarrow.fs
     import pyarrow.parquet as pq
 
-    meta = pq.read_metadata(path)
+    system, inner = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (None, path)
+    meta = pq.read_metadata(inner, filesystem=system)
     schema = meta.schema.to_arrow_schema()
     nulls = dict.fromkeys(schema.names, 0)
     for g in range(meta.num_row_groups):
@@ -133,13 +141,24 @@ def missing_by_file(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return wide.unpivot(["source_file", "n_rows"], columns, "feature", "n_missing")
 
 
+def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, column, type, rows, nulls) of each column of each file; footers are read on the executors."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, c, t, foot["rows"], foot["nulls"][c]) for p in batch["path"] for foot in [parquet_footer(p)] for c, t in zip(foot["columns"], foot["types"])]
+            yield pd.DataFrame(rows, columns=["path", "column", "type", "rows", "nulls"])
+
+    named = spark.createDataFrame([(p,) for p in paths], "path string")
+    return named.repartition(max(1, min(len(paths), 200)), "path").mapInPandas(read, "path string, column string, type string, rows long, nulls long")
+
+
 def schema_variants(paths: Sequence[str]) -> dict[str, set[str]]:
     """Types of each column over the files, from their footers."""
+    rows = footers(SparkSession.active(), paths).select("column", "type").distinct().collect()  # as many as columns have types
     out: dict[str, set[str]] = {}
-    for p in paths:
-        foot = parquet_footer(p)
-        for name, kind in zip(foot["columns"], foot["types"]):
-            out.setdefault(name, set()).add(kind)
+    for r in rows:
+        out.setdefault(r["column"], set()).add(r["type"])
     return out
 
 
@@ -196,11 +215,38 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def readable(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, int | None, str]]:
-    """(path, rows, error) of each path; an unreadable one is reported, not raised."""
-    out = []
-    for p in paths:
+    """(path, rows, error) of each path; an unreadable one is reported, not raised.
+
+    Files are tried side by side: each is a job, and jobs of one session share its executors.
+    """
+
+    def attempt(p: str) -> tuple[str, int | None, str]:
         try:
-            out.append((p, read_files(spark, [p]).count(), ""))
+            return p, read_files(spark, [p]).count(), ""
         except Exception as problem:  # noqa: BLE001 - whatever a broken file raises is the finding
-            out.append((p, None, type(problem).__name__))
-    return out
+            return p, None, type(problem).__name__
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(attempt, paths))
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """Logical tables by name: each a Dataset of yearly files, maybe with a rollup."""
+
+    tables: Mapping[str, Dataset]
+
+    def load(self, spark: SparkSession, name: str, first: int | None = None, last: int | None = None, rollup: bool = True) -> DataFrame:
+        """A table by name; an unknown one is an error that lists the known."""
+        if name not in self.tables:
+            raise KeyError(f"unknown table {name}; known: {', '.join(sorted(self.tables))}")
+        read = read_rollup_or_yearly if rollup and first is None and last is None else read_yearly
+        return read(spark, self.tables[name], first, last)
+
+    def coverage(self, spark: SparkSession) -> DataFrame:
+        """(name, n_files, first_year, last_year, has_rollup) from names alone."""
+        rows = []
+        for name, data in sorted(self.tables.items()):
+            years = [int(re.search(PERIOD, Path(p).stem)[1][:4]) for p in data.yearly()]
+            rows.append((name, len(years), min(years, default=None), max(years, default=None), data.rollup() is not None))
+        return spark.createDataFrame(rows, "name string, n_files int, first_year int, last_year int, has_rollup boolean")

@@ -10,3 +10,9 @@ def fetch(endpoint: str, year: int) -> str:
     if len(_calls) == 1:
         raise OSError("try again")
     return json.dumps({"resultSets": [{"name": "S", "headers": ["ENDPOINT", "YEAR"], "rowSet": [[endpoint, year]]}]})
+
+
+def sometimes(endpoint: str, year: int) -> str:
+    if endpoint == "nothing":
+        return json.dumps({"resultSets": []})
+    return json.dumps({"resultSets": [{"name": "S", "headers": ["YEAR"], "rowSet": [[year]]}]})

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import joins
 from quillspan.plans import pipelines
-from quillspan.sources import files, sinks
-from quillspan.sources.collect import collect_endpoint
+from quillspan.sources import files, paths, sinks
+from quillspan.sources.collect import Step, collect_all, collect_endpoint
 from quillspan.sources.tables import share_package
 from quillspan.streaming import arrivals
 
@@ -67,6 +67,21 @@ def test_csv_json_and_audits(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "mirror")).count() == 3
 
 
+def test_catalog_and_reports(spark, tmp_path):
+    catalog = files.Catalog({"stats": _yearly(spark, tmp_path), "none": files.Dataset(str(tmp_path / "absent"), "x")})
+    assert catalog.load(spark, "stats").first()["k"] == 9 and catalog.load(spark, "stats", 2020, 2020).count() == 2
+    assert {tuple(r) for r in catalog.coverage(spark).collect()} == {("stats", 3, 2019, 2021, True), ("none", 0, None, None, False)}
+    with pytest.raises(KeyError):
+        catalog.load(spark, "other")
+    scored = spark.createDataFrame([(1, 0.25, [1.0])], "event int, probability double, features array<double>")
+    sinks.write_training(spark, str(tmp_path / "run"), {"roc_auc": 0.5}, scored, [("x", 0.75), ("y", 0.25)], {"model": {"name": "ridge"}})
+    assert json.loads((tmp_path / "run/metrics.json").read_text()) == {"roc_auc": 0.5} and json.loads(paths.read_text(spark, str(tmp_path / "run/best_config.json")))["model"]["name"] == "ridge"
+    back = spark.read.option("header", True).csv(str(tmp_path / "run/predictions"))
+    assert back.columns == ["event", "probability"] and spark.read.option("header", True).csv(str(tmp_path / "run/importance")).count() == 2
+    sinks.write_audit(spark.range(10).repartition(3), str(tmp_path / "parts"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "parts")).count() == 10
+
+
 def test_workbook(spark, tmp_path):
     share_package(spark)
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -104,6 +119,15 @@ def test_api_source(spark, tmp_path):
     assert [(r["year"], r["values"]) for r in rows] == [(y, ["draft", str(y)]) for y in (2001, 2002, 2003)]
 
 
+def test_whole_collection(spark, tmp_path):
+    share_package(spark)
+    steps = (Step("draft"), Step("nothing"), Step("crosswalk", beyond=2))
+    found = collect_all(spark, 2001, 2002, "api_stand_in:sometimes", str(tmp_path), steps, wait=0.0).collect()
+    assert [(r["endpoint"], r["last"], r["status"]) for r in found] == [("draft", 2002, "written"), ("nothing", 2002, "failed"), ("crosswalk", 2004, "skipped")]
+    found = collect_all(spark, 2001, 2002, "api_stand_in:sometimes", str(tmp_path), steps, wait=0.0, keep_going=True).collect()
+    assert [r["status"] for r in found] == ["kept", "failed", "written"] and spark.read.parquet(str(tmp_path / "crosswalk.parquet")).count() == 4
+
+
 def test_arrivals(spark, tmp_path):
     events = [(i, datetime(2024, 1, 1, i % 3, i % 60), "a" if i % 2 else "b", 1.0) for i in range(60)]
     df = spark.createDataFrame([*events, events[0], (99, datetime(2024, 1, 3), "a", 1.0)], "id long, ts timestamp_ntz, kind string, value double")
