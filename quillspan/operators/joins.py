@@ -122,3 +122,22 @@ def identity_tiers(events: DataFrame, candidates: DataFrame, back: int = 6) -> D
     )
     entity = F.when(F.col("n_now") == 1, F.col("e_now")).when((F.col("n_now") > 1) & asked & (F.col("n_fit") == 1), F.col("e_fit")).when((F.col("n_now") == 0) & (F.col("n_past") == 1), F.col("e_past"))
     return all_events.select("event_id", entity.alias("entity"), status.alias("status"))
+
+
+def name_fallback(events: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exact-name search over all seasons: (accepted, ambiguous).
+
+    ``events``: event_id, name, org; ``candidates``: name, entity, team.  Accepted is the only entity of a
+    name, or of several the only one with a team that contains the organisation or is contained in it
+    (columns event_id, entity, method).  Ambiguous lists every candidate of the other events with the
+    number of candidates and of fitting ones.
+    """
+    keyed = events.where("name is not null and name <> ''").select("event_id", "name", "org")
+    near = candidates.dropna(subset=["name", "entity"]).select("name", "entity", "team").distinct()
+    # one row an event and entity: teams are only counted, never gathered
+    met = keyed.join(near, "name").groupBy("event_id", "entity").agg(F.max(contains_either_way(F.col("team"), F.col("org"))).alias("fits"))
+    counts = met.groupBy("event_id").agg(F.count("*").alias("n"), F.count_if("fits").alias("n_fit"), F.min("entity").alias("only"), F.min(F.when(F.col("fits"), F.col("entity"))).alias("only_fit"))
+    unique, by_team = F.col("n") == 1, F.col("n_fit") == 1
+    accepted = counts.where(unique | by_team).select("event_id", F.when(unique, F.col("only")).otherwise(F.col("only_fit")).alias("entity"), F.when(unique, F.lit("unique_name")).otherwise(F.lit("unique_team_of_name")).alias("method"))
+    open_ = counts.where(~(unique | by_team)).select("event_id", F.col("n").alias("n_candidates"), F.col("n_fit").alias("n_fitting"))
+    return accepted, met.select("event_id", "entity").join(open_, "event_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.scalars import clean_id, number, sum_columns, within
+from quillspan.functions.scalars import clean_id, finite, number, sum_columns, within
 from quillspan.operators import audit
 from quillspan.operators.aggregates import crosstab_share, dense_years, missingness, standardized_difference
 from quillspan.operators.joins import latest_per
@@ -107,6 +107,35 @@ def spearman_pairwise(spark: SparkSession, d: str) -> DataFrame:
     return ranked.groupBy("season").agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), 6).alias("rho"))
 
 
+_TARGET, _RANKED = "age", ("height", "weight", "season")
+
+
+@book.query("\nunion all ".join(f"""select '{a}' as feature, '{b}' as other, n, round(n / n_all, 6) as coverage, round(rho, 6) as rho from (
+ select count(*) as n, corr(ra, rb) as rho from (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2 as rb
+  from (select {a}::double as a, {b}::double as b from player_core where {a} is not null and not isnan({a}::double) and {b} is not null and not isnan({b}::double)))), (select count(*) as n_all from player_core)""" for i, a in enumerate((*_RANKED, _TARGET)) for b in (*_RANKED, _TARGET)[i + 1:]))
+def spearman_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of each pair of columns over the rows that have both, with their share of all rows."""
+    from quillspan.operators.aggregates import union_all
+
+    names = (*_RANKED, _TARGET)
+    rows = table(spark, d, "player_core", *[finite(F.col(c).cast("double")).alias(c) for c in names])
+    whole = rows.agg(F.count("*").alias("n_all"))
+    parts = []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            both = average_rank(average_rank(rows.select(a, b).dropna(), a, [], "ra"), b, [], "rb")
+            found = both.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+            parts.append(found.crossJoin(whole).select(F.lit(a).alias("feature"), F.lit(b).alias("other"), "n", F.round(F.col("n") / F.col("n_all"), 6).alias("coverage"), F.round("rho", 6).alias("rho")))  # one row each
+    return union_all(parts)
+
+
+@book.query("select c_custkey, rank() over (order by c_acctbal) + (count(*) over (partition by c_acctbal) - 1) / 2 as place, round((rank() over (order by c_acctbal) + (count(*) over (partition by c_acctbal) - 1) / 2) / count(*) over (), 6) as pct from customer")
+def global_average_rank(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer", "c_custkey", "c_acctbal")
+    ranked = average_rank(average_rank(c, "c_acctbal", [], "place"), "c_acctbal", [], "pct", percent=True)
+    return ranked.select("c_custkey", "place", F.round("pct", 6).alias("pct"))
+
+
 @book.query("\nunion all ".join(f"select '{c}' as feature, round(avg({c}) filter (where drafted = 1), 6) as mean_left, round(avg({c}) filter (where drafted <> 1), 6) as mean_right, round((avg({c}) filter (where drafted = 1) - avg({c}) filter (where drafted <> 1)) / sqrt(nullif((var_samp({c}) filter (where drafted = 1) + var_samp({c}) filter (where drafted <> 1)) / 2, 0)), 6) as smd from draft_classification" for c in _FEATURES[:4]))
 def smd_two_groups(spark: SparkSession, d: str) -> DataFrame:
     return standardized_difference(table(spark, d, "draft_classification", "drafted", *_FEATURES[:4]), F.col("drafted") == 1, _FEATURES[:4])
@@ -168,7 +197,7 @@ def profile_nulls(spark: SparkSession, d: str) -> DataFrame:
     return audit.table_profile(table(spark, d, "player_core", *_CORE))
 
 
-@book.query(" union all ".join(f"select '{c}' as column_name, case when count(distinct {c}) <= 1 then 1 else 0 end as is_constant, cast(0 as bigint) as n_infinite from player_core" for c in ("season", "height", "weight", "age")))
+@book.query(" union all ".join(f"select '{c}' as column_name, case when count(distinct {c}) <= 1 then 1 else 0 end as is_constant, count(*) filter (where isinf({c}::double)) as n_infinite from player_core" for c in ("season", "height", "weight", "age")))
 def constant_columns(spark: SparkSession, d: str) -> DataFrame:
     return audit.constant_columns(table(spark, d, "player_core", "season", "height", "weight", "age"), ["season", "height", "weight", "age"])
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillspan.functions.scalars import any_alias, clean_id, compact_name, split_qualifier
 from quillspan.operators import audit
 from quillspan.operators.aggregates import union_all
-from quillspan.operators.joins import existence_flag, identity_tiers, key_membership, latest_per, merge_rosters, purge_groups, symmetric_difference, usual_mapping, validated_join
+from quillspan.operators.joins import existence_flag, identity_tiers, key_membership, latest_per, merge_rosters, name_fallback, purge_groups, symmetric_difference, usual_mapping, validated_join
+from quillspan.operators.profile import normal_position
 from quillspan.plans.base import Book, sql_id
 from quillspan.sources.tables import table
 
@@ -139,8 +140,9 @@ def match_rate_by_year(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("draft_year", F.col("drafted").cast("int").alias("drafted")).agg(F.count("*").alias("n"), F.round(F.avg(clean_id("college_espn_id").isNotNull().cast("double")), 6).alias("match_rate"))
 
 
-@book.query("""with w as (select * from orders), p as (select * from orders where year(o_orderdate) <= 1997 union all select * from orders where year(o_orderdate) > 1997)
-select (select count(*) from (select * from w except all select * from p)) as only_left, (select count(*) from (select * from p except all select * from w)) as only_right, 1 as equal""")
+@book.query("""with w as (select * from orders), p as (select * from orders where year(o_orderdate) <= 1997 union all select * from orders where year(o_orderdate) > 1997),
+d as (select (select count(*) from (select * from w except all select * from p)) as only_left, (select count(*) from (select * from p except all select * from w)) as only_right)
+select *, case when only_left + only_right = 0 then 1 else 0 end as equal from d""")
 def rollup_parity(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     year = F.year("o_orderdate")
@@ -269,4 +271,51 @@ def domain_consistency(spark: SparkSession, d: str) -> DataFrame:
     return audit.verdicts(union_all(parts), TOLERATED)
 
 
+_FALLBACK = f"""e as (select event_id, {_NAME.format('player_name')} as name, {_NAME.format("coalesce(organization, '')")} as org from draft_classification where {sql_id('college_espn_id')} is null and player_name is not null),
+c as (select distinct {_NAME.format('athlete_display_name')} as name, {sql_id('athlete_id')} as entity, {_NAME.format('team_display_name')} as team from player_season_from_box where athlete_display_name is not null),
+m as (select event_id, entity, bool_or(coalesce(team <> '' and org <> '' and (contains(team, org) or contains(org, team)), false)) as fits from e join c using (name) where name <> '' and entity is not null group by all),
+f as (select event_id, count(*) as n, count(*) filter (where fits) as n_fit, min(entity) as sole, min(entity) filter (where fits) as sole_fit from m group by 1)"""
+
+
+def _fallback(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "draft_classification", "event_id", "player_name", "organization", "college_espn_id").where(clean_id("college_espn_id").isNull() & F.col("player_name").isNotNull())
+    b = table(spark, d, "player_season_from_box", "athlete_id", "athlete_display_name", "team_display_name").where("athlete_display_name is not null")
+    events = e.select("event_id", compact_name("player_name").alias("name"), compact_name(F.coalesce("organization", F.lit(""))).alias("org"))
+    return name_fallback(events, b.select(compact_name("athlete_display_name").alias("name"), clean_id("athlete_id").alias("entity"), compact_name("team_display_name").alias("team")))
+
+
+@book.query(f"with {_FALLBACK} select event_id, case when n = 1 then sole else sole_fit end as entity, case when n = 1 then 'unique_name' else 'unique_team_of_name' end as method from f where n = 1 or n_fit = 1")
+def name_fallback_accepted(spark: SparkSession, d: str) -> DataFrame:
+    return _fallback(spark, d)[0]
+
+
+@book.query(f"with {_FALLBACK} select event_id, entity, n as n_candidates, n_fit as n_fitting from m join f using (event_id) where n <> 1 and n_fit <> 1")
+def name_fallback_ambiguous(spark: SparkSession, d: str) -> DataFrame:
+    return _fallback(spark, d)[1]
+
+
+_PLACE = "nullif(regexp_replace(replace(upper(trim({0}, ' ')), '/', '-'), ' *- *', '-', 'g'), '')"
+
+
+@book.query(f"""with c as (select {sql_id('athlete_id')} as athlete, {_PLACE.format('position_abbreviation')} as p from player_core),
+u as (select athlete, p from c where athlete is not null and p is not null group by athlete, p qualify row_number() over (partition by athlete order by count(*) desc, p) = 1),
+e as (select event_id, {sql_id('college_espn_id')} as athlete, {_PLACE.format('position')} as position from draft_classification)
+select event_id, e.position, u.p as listed from e join u using (athlete) where e.position is not null and e.position <> u.p""")
+def position_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose position differs from the usual listed one of their athlete."""
+    core = table(spark, d, "player_core", clean_id("athlete_id").alias("athlete"), normal_position(F.col("position_abbreviation")).alias("listed"))
+    usual = usual_mapping(core.withColumn("listed", F.nullif("listed", F.lit(""))), "athlete", "listed").select("athlete", "listed")
+    e = table(spark, d, "draft_classification", "event_id", clean_id("college_espn_id").alias("athlete"), F.nullif(normal_position(F.col("position")), F.lit("")).alias("position"))
+    return e.join(usual, "athlete").where(F.size(F.array_distinct(F.array_compact(F.array("position", "listed")))) > 1).select("event_id", "position", "listed")
+
+
+@book.query("""with a as (select column_name as name from (describe player_season_from_box)), b as (select column_name as name from (describe player_core))
+select 'only in the box table' as side, name from a where name not in (select name from b) union all select 'only in the core table', name from b where name not in (select name from a)""")
+def dictionary_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that only one of two tables names, both ways."""
+    names = [spark.createDataFrame([(c,) for c in table(spark, d, t).columns], "name string") for t in ("player_season_from_box", "player_core")]
+    sides = (("only in the box table", *names), ("only in the core table", *names[::-1]))
+    return union_all([a.join(b, "name", "left_anti").select(F.lit(side).alias("side"), "name") for side, a, b in sides])
+
+
 QUERIES, SQL = book.queries, book.sql
