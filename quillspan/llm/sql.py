@@ -33,4 +33,10 @@ k as (select *, count(*) over (partition by pid, draft_year) as of_key from r wh
 v as ({' union all '.join(f"select pid, draft_year, '{f}' as field, anthro_row_id, trust_rank, loaded_at, {x} as value from k where of_key > 1" for f, x in _FIELDS.items())})
 select pid as nba_player_id, draft_year, field, anthro_row_id from v where value is not null
 qualify row_number() over (partition by pid, draft_year, field order by trust_rank nulls last, loaded_at desc nulls last, anthro_row_id) = 1""",
+    "p9_found": r"""
+with iw as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items),
+dw as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+ig as (select distinct item_id, array_to_string(w[i:i + 12], ' ') as g from (select item_id, w, unnest(range(1, greatest(1, len(w) - 11))) as i from iw)),
+dg as (select distinct doc_id, array_to_string(w[i:i + 12], ' ') as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 11))) as i from dw))
+select distinct doc_id, item_id from dg join ig using (g)""",
 }

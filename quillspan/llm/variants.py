@@ -251,11 +251,19 @@ def learned_forms(names: DataFrame, least: int = 3, share: float = 0.15) -> Data
     return cut_lineage(found.groupBy("word").agg(F.max_by("full", F.struct("both", "full")).alias("full")))
 
 
-def written_out(df: DataFrame, words: str, forms: DataFrame) -> DataFrame:
+def written_out(df: DataFrame, words: str, forms: DataFrame, most_inline: int = 500) -> DataFrame:
     """``df`` with the short forms (word, full) in its arrays of sorted words written out.
 
-    Only names that hold one are written anew; a text of more than MOST_WORDS words stays as it is.
+    Up to ``most_inline`` forms are part of the expression; more are joined, to the names that hold one.
+    A text of more than MOST_WORDS words stays as it is.
     """
+    few = forms.limit(most_inline + 1).collect()
+    if len(few) <= most_inline:
+        if not few:
+            return df
+        known = F.create_map(*[F.lit(x) for r in few for x in (r["word"], r["full"])])
+        full = F.array_sort(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)))
+        return df.withColumn(words, F.when(F.size(words) <= MOST_WORDS, full).otherwise(F.col(words)))
     held = df.where(F.size(words) <= MOST_WORDS).select(words).distinct().select(words, F.explode(F.array_distinct(words)).alias("word"))
     held = held.join(forms, "word").groupBy(words).agg(F.map_from_entries(F.collect_list(F.struct("word", "full"))).alias("_forms"))
     full = F.array_sort(F.transform(words, lambda w: F.coalesce(F.try_element_at("_forms", w), w)))

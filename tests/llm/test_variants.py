@@ -98,7 +98,8 @@ def test_short_forms_are_learned(spark):
     df = spark.createDataFrame(rows, "words array<string>, org string, year int")
     forms = variants.learned_forms(df)
     assert {tuple(r) for r in forms.collect()} == {("bill", "william"), ("bob", "robert")}
-    got = {tuple(r["words"]) for r in variants.written_out(df, "words", forms).collect()}
+    got, joined = ({tuple(r["words"]) for r in variants.written_out(df, "words", forms, most).collect()} for most in (500, 0))
+    assert got == joined
     assert ("lone", "robert") in got and not any("bob" in w or "bill" in w for w in got) and ("x",) * 50 in got
 
 
