@@ -54,12 +54,16 @@ def assert_unique(rows: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     return rows.alias("r").join(counts, same).where(checked).select("r.*")
 
 
-def validated_join(left: DataFrame, right: DataFrame, keys: Sequence[str], validate: str, how: str = "left") -> DataFrame:
-    """Equi-join that fails if ``one_to_one``, ``many_to_one`` or ``one_to_many`` is broken."""
+def validated_join(left: DataFrame, right: DataFrame, keys: Sequence[str], validate: str, how: str = "left", grouped: Sequence[str] = ()) -> DataFrame:
+    """Equi-join that fails if ``one_to_one``, ``many_to_one`` or ``one_to_many`` is broken.
+
+    A side named in ``grouped`` (``left``, ``right``) is the result of a grouping by the keys: it can't
+    repeat one and is not counted again.
+    """
     sides = {"one_to_one": (True, True), "many_to_one": (False, True), "one_to_many": (True, False), "many_to_many": (False, False)}[validate]
-    if sides[0]:
+    if sides[0] and "left" not in grouped:
         left = assert_unique(left, keys, "left side")
-    if sides[1]:
+    if sides[1] and "right" not in grouped:
         right = assert_unique(right, keys, "right side")
     return left.join(right, list(keys), how)
 
@@ -110,6 +114,7 @@ def identity_tiers(events: DataFrame, candidates: DataFrame, back: int = 6) -> D
     )
     all_events = events.select("event_id", "qualifier").join(found, "event_id", "left").fillna(0, ["n_now", "n_fit", "n_past"])
     asked = F.coalesce(F.col("qualifier") != "", F.lit(False))
+    # Names of the outcomes
     status = (
         F.when(F.col("n_now") == 1, "same_season_unique_compact_name")
         .when((F.col("n_now") > 1) & asked & (F.col("n_fit") == 1), "same_season_unique_team_qualifier")

@@ -81,7 +81,7 @@ def left_join_composite(spark: SparkSession, d: str) -> DataFrame:
     keys = ["l_partkey", "l_suppkey"]
     left = items.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
     right = items.where("l_returnflag = 'R'").groupBy(*keys).agg(F.count("*").alias("n_returned"))
-    return validated_join(left, right, keys, "one_to_one").fillna(0, ["n_returned"])
+    return validated_join(left, right, keys, "one_to_one", grouped=["left", "right"]).fillna(0, ["n_returned"])
 
 
 @book.query("select o_orderkey, o_totalprice, c_name, n_name, r_name from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey where o_totalprice > 200000")
@@ -188,7 +188,7 @@ def pip_two_stage(spark: SparkSession, d: str) -> DataFrame:
     keys = ["player", "draft_year"]
     left = a.groupBy(*keys).agg(F.max(F.col("drafted").cast("int")).alias("drafted"))
     right = m.groupBy(*keys).agg(F.round(F.avg(F.when(~F.isnan("wingspan"), F.col("wingspan"))), 6).alias("wingspan"))
-    return validated_join(left, right, keys, "one_to_one").withColumn("combine_available", F.col("wingspan").isNotNull().cast("int"))
+    return validated_join(left, right, keys, "one_to_one", grouped=["left", "right"]).withColumn("combine_available", F.col("wingspan").isNotNull().cast("int"))
 
 
 @book.query(f"""select {sql_id('nba_player_id')} as player, draft_year, event_id from draft_classification where {sql_id('nba_player_id')} is not null qualify row_number() over (partition by {sql_id('nba_player_id')} order by draft_year, event_id) = 1""")

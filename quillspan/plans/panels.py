@@ -198,7 +198,7 @@ def pip_enriched(spark: SparkSession, d: str) -> DataFrame:
     feats = rows.groupBy("athlete").agg(F.max_by("rate", "season").alias("rate"), F.count("*").alias("n"))
     events = table(spark, d, "draft_classification", "event_id", "draft_year", "drafted", "college_espn_id", "combine_wingspan", "combine_height_wo_shoes", "combine_weight")
     events = events.withColumn("athlete", clean_id("college_espn_id"))
-    out = validated_join(events, feats, ["athlete"], "many_to_one")
+    out = validated_join(events, feats, ["athlete"], "many_to_one", grouped=["right"])
     height = F.col("combine_height_wo_shoes")
     return out.select(
         "event_id", "draft_year", F.col("drafted").cast("int").alias("drafted"), F.round(F.col("combine_wingspan") - height, 6).alias("combine_derived_reach"),
