@@ -20,6 +20,7 @@ from quillspan.ml.splits import SplitBounds, chronological_split
 from quillspan.operators.audit import leaking
 from quillspan.operators.joins import purge_groups
 from quillspan.operators.windows import choose_top
+from quillspan.session import cut_lineage
 
 # What a configuration must name.
 REQUIRED = ("target", "numerical_features", "categorical_features", "split", "model")
@@ -126,19 +127,22 @@ def fit_model(training: DataFrame, config: Mapping) -> Fitted:
     """Preparation and estimator fitted on the given rows."""
     target, name = config["target"], config["model"]["name"]
     trees = name.startswith("gbt")
+    # medians, deviations and the optimiser go over the rows again and again
+    training = cut_lineage(training.select(*dict.fromkeys([*config["numerical_features"], *config["categorical_features"], target])))
     prep = learn(training, config["numerical_features"], config["categorical_features"], scale=not trees, indicators=config.get("numerical_missing_indicators", trees))
     log_target = bool(config.get("log_transform_target")) and name in ("ridge", "gbt_regressor")
     if log_target and not training.where(F.col(target) <= -1).isEmpty():
         raise ValueError(f"the logarithm of 1 + {target} needs targets above -1")
     rows = training.withColumn(target, F.log1p(target)) if log_target else training
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.stddev_pop(target), F.lit(1.0)).alias("s")).first()
-    made = estimator(name, config["model"].get("hyperparameters", {}), target, size["n"], size["s"]).fit(prep.apply(rows))
+    made = estimator(name, config["model"].get("hyperparameters", {}), target, size["n"], size["s"]).fit(cut_lineage(prep.apply(rows).select(target, "features")))
     return Fitted(prep, made, target, log_target=log_target)
 
 
 def fit_classifier(df: DataFrame, config: Mapping) -> tuple[Fitted, dict[str, DataFrame]]:
     """Purge, fit on training rows, calibrate on validation rows, choose the rule, refit."""
     config = check_config(config)
+    df = cut_lineage(df)  # its parts are read by the fits, the scores and the metrics
     parts = chronological_split(df, SplitBounds(**config["split"]))
     group, target = config.get("group_column"), config["target"]
     purge = lambda a, b: purge_groups(a, b, group) if group else a
@@ -160,6 +164,7 @@ def fit_regressor(df: DataFrame, config: Mapping) -> tuple[Fitted, dict[str, dic
     Validation metrics are those of the first fit, test metrics those of the last.
     """
     config = check_config(config)
+    df = cut_lineage(df)  # its parts are read by the fits, the scores and the metrics
     parts = chronological_split(df, SplitBounds(**config["split"]))
     group = config.get("group_column")
     purge = lambda a, b: purge_groups(a, b, group) if group else a
