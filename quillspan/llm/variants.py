@@ -339,8 +339,9 @@ def verified_links(distinct: DataFrame, least_name: float = 0.8, least_score: fl
     other = org_agreement(F.col("org_a"), F.col("org_b")) + year_agreement(F.col("year_a"), F.col("year_b")) + position_agreement(F.col("position_a"), F.col("position_b"))
     met = once(met, other=other).where("other > -1.0")
     met = once(met, name=name_similarity(F.col("words_a"), F.col("words_b")))
-    # more typos pass where organisation and year both agree
-    met = met.where(F.col("name") >= F.when(F.col("other") >= 3.0, least_name - 0.08).otherwise(least_name))
+    # more typos pass where organisation and year both agree, fewer where years or positions disagree
+    against = (year_agreement(F.col("year_a"), F.col("year_b")) < 0).cast("int") + (position_agreement(F.col("position_a"), F.col("position_b")) < 0).cast("int")
+    met = met.where(F.col("name") >= F.when(F.col("other") >= 3.0, least_name - 0.08).otherwise(least_name + 0.1 * against))
     exact = F.when(F.col("words_a") == F.col("words_b"), 1.0).when(F.least("full_a", "full_b") >= 2, 0.5).otherwise(0.0)
     scored = once(met, score=F.col("other") + exact + 5 * (F.col("name") - 0.9)).where(F.col("score") >= least_score)
     return scored.where(~unlike_words(F.col("words_a"), F.col("words_b"))).select("a", "b", "score")
