@@ -125,7 +125,7 @@ def feature_manifest(df: DataFrame, rules: Sequence[NameRule] = FEATURE_GROUPS)
 
 
 def leaking(names: Sequence[str], rules: Sequence[NameRule] = LEAKAGE) -> dict[str, str]:
-    """Those of the names that may not be features, with what they give away."""
+    """Those of the names that a rule holds for (by default: may not be features), with what it says."""
     found = {n: next((r.meaning for r in rules if r.matches(n)), None) for n in names}
     return {n: meaning for n, meaning in found.items() if meaning}
 

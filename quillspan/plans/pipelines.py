@@ -15,15 +15,19 @@ from pyspark.sql import types as T
 
 from quillspan.functions.scalars import age_on_july_first, clean_id, college_position, number, normalize_position, safe_divide, split_qualifier, within
 from quillspan.operators.aggregates import TOTALS, collapse_seasons, rates, row_conflicts, team_context, total, weighted_mean
-from quillspan.operators.audit import drop_empty_columns
+from quillspan.operators.audit import NameRule, drop_empty_columns, leaking
 from quillspan.operators.drift import normal_label
 from quillspan.operators.joins import band_join, existence_flag, key_membership, latest_per, merge_rosters, validated_join
 from quillspan.operators.windows import average_rank, with_previous
 
 KEYS = ("player", "year")
-# Label endings of columns that name or date a row and measure nothing.
-NOT_MEASURED = ("_id", "_name")
-NOT_MEASURED_EXACT = ("id", "name", "season", "year", "position", "draft_year")
+# Columns that name, date or place a row and measure nothing.
+NOT_MEASURED = (
+    NameRule("an identifier", ("id",), ends=("_id",)),
+    NameRule("a name", ("name",), ends=("_name",)),
+    NameRule("the calendar", ("season", "year", "draft_year")),
+    NameRule("a position", ("position",)),
+)
 
 
 @dataclass
@@ -41,8 +45,8 @@ def measured_columns(columns: Sequence[str]) -> tuple[dict[str, str], list[tuple
     dropped, collisions = [], []
     for raw in columns:
         label = normal_label(raw)
-        if label in NOT_MEASURED_EXACT or label.endswith(NOT_MEASURED):
-            dropped.append((raw, "names or dates a row"))
+        if reason := leaking([label], NOT_MEASURED).get(label):
+            dropped.append((raw, reason))
         elif label in kept.values():
             collisions.append((label, next(k for k, v in kept.items() if v == label), raw))
         else:
