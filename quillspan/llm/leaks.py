@@ -138,7 +138,7 @@ def _joined(docs: DataFrame, items: DataFrame, run: int, shingle: int) -> DataFr
     return texts.sortWithinPartitions("doc_id").mapInPandas(verify, "doc_id long, item_id long")
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, run: int = 13, shingle: int = 5, max_item_bytes: int = 16_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, run: int = 13, shingle: int = 5, max_item_bytes: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id) that share a run of at least ``run`` words.
 
     ``docs``: doc_id, text; ``items``: item_id, text.
