@@ -49,6 +49,16 @@ def with_parameters(config: Mapping, parameters: Mapping) -> dict:
     return made
 
 
+def with_features(config: Mapping, names: Sequence[str]) -> dict:
+    """A copy of the configuration with only those of its features that are named; none left is an error."""
+    made, keep = deepcopy(dict(config)), set(names)
+    for kind in ("numerical_features", "categorical_features"):
+        made[kind] = [f for f in made[kind] if f in keep]
+    if not made["numerical_features"] and not made["categorical_features"]:
+        raise ValueError("none of the named features is in the configuration")
+    return made
+
+
 def protect_source(source: str | Path, target: str | Path) -> None:
     """Refuse to write over the configuration that is being tuned."""
     if Path(source).resolve() == Path(target).resolve():
@@ -79,11 +89,12 @@ def score_candidate(df: DataFrame, config: Mapping, parameters: Mapping) -> dict
         training, validation = fold_parts(df, column, fold, config.get("group_column"))
         scored.append(fit_model(training, made).score(validation).withColumn("fold", F.lit(i)))
     pooled = reduce(DataFrame.unionByName, scored)
-    y = F.col(config["target"])
+    y, more = F.col(config["target"]), {}
     if metric == "rmse":
-        measure = regression(y, F.col("predicted"))["rmse"]
-        each = [r[0] for r in pooled.groupBy("fold").agg(measure.alias("m")).select("m").collect()]
-        value = pooled.agg(measure).first()[0]
+        measures = regression(y, F.col("predicted"))
+        each = [r[0] for r in pooled.groupBy("fold").agg(measures["rmse"].alias("m")).select("m").collect()]
+        value, r2 = pooled.agg(measures["rmse"], measures["r2"]).first()
+        more = {"pooled_r2": r2}
     elif metric == "macro_normalized_ap":
         value = macro_normalized_ap(pooled, config["target"], "probability", column).first()["macro_normalized_ap"]
         each = [value]
@@ -93,7 +104,7 @@ def score_candidate(df: DataFrame, config: Mapping, parameters: Mapping) -> dict
     if value is None or None in each:
         raise ValueError(f"{metric} is undefined: validation rows of one class only")
     mean = sum(each) / len(each)
-    return {"parameters": dict(parameters), "score": value, "fold_mean": mean, "fold_deviation": (sum((x - mean) ** 2 for x in each) / len(each)) ** 0.5}
+    return more | {"parameters": dict(parameters), "score": value, "fold_mean": mean, "fold_deviation": (sum((x - mean) ** 2 for x in each) / len(each)) ** 0.5}
 
 
 def tune(df: DataFrame, config: Mapping) -> list[dict]:

@@ -215,6 +215,21 @@ def test_metric_of_a_search(spark):
         tuning.tune(one, CONFIG)
 
 
+def test_pooled_scores_and_subset_of_features(spark):
+    rnd = random.Random(6)
+    df = spark.createDataFrame([(2000 + i % 6, (x := rnd.random() * 3), rnd.random(), 2 * x + rnd.random()) for i in range(240)], "season int, x double, noise double, y double")
+    folds = [{"train_end": e, "validation_start": e + 1, "validation_end": e + 1} for e in (2001, 2002, 2003)]
+    config = {"target": "y", "numerical_features": ["x", "noise"], "categorical_features": [], "split": {"column": "season", "test_start": 2005}, "model": {"name": "ridge", "hyperparameters": {"alpha": 0.1}}, "tuning": {"validation_folds": folds}}
+    whole = tuning.score_candidate(df, config, {})
+    assert whole["pooled_r2"] > 0.9 and abs(whole["score"] - whole["fold_mean"]) < 0.1 and whole["fold_deviation"] < 0.1
+    made = fit_model(df, config)
+    small = tuning.with_features(config, top_features(importance(made), 1, ["x", "noise"]))
+    assert small["numerical_features"] == ["x"] and config["numerical_features"] == ["x", "noise"]
+    assert tuning.score_candidate(df, small, {})["pooled_r2"] > 0.9
+    with pytest.raises(ValueError):
+        tuning.with_features(config, ["other"])
+
+
 def test_first_existing_column(spark):
     df = spark.createDataFrame([], "Season int, team string")
     assert first_existing(df, "year", "season", "team") == "Season" and first_existing(df, "x") is None
