@@ -96,44 +96,41 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     return dict.fromkeys(columns) | {r["column"]: r["m"] for r in rows}
 
 
-def ordered_rank(df: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], name: str) -> DataFrame:
-    """``df`` with each row's place by descending score and then ``ties``, from 1, in its group.
-
-    The places of scores come from counts; rows are ordered only among those of one score.
-    """
-    counts = cut_lineage(df.groupBy(*by, score).agg(F.count("*").alias("_n")))
-    steps = running_totals(counts.where(F.col(score).isNotNull()), by, score, {"_upto": "_n"}, descending=True)
-    on = F.col(f"l.{score}").eqNullSafe(F.col(f"r.{score}"))
+def _placed(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
+    """``df`` with ``_b`` (its stretch of descending scores; -1 without one), the rows of its group before
+    the stretch, in it and in all (``_before``, ``_n``, ``_all``)."""
+    rows = df.withColumn("_b", F.when(F.col(score).isNull(), -1).otherwise(_bucket(df, score, stretches(df.sparkSession))))
+    sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    # a group has as many rows here as there are stretches
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(group))
+    on = F.col("l._b") == F.col("r._b")
     for b in by:
         on = on & F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
-    # rows without a score come after all others of their group
-    last = group_totals(counts.where(F.col(score).isNull()), counts.groupBy(*by).agg(F.sum("_n").alias("_upto")), by, ["_upto"])
-    places = steps.unionByName(last).withColumn("_before", F.col("_upto") - F.col("_n"))
-    within = F.row_number().over(Window.partitionBy(*by, score).orderBy(*ties))
-    return df.alias("l").join(places.alias("r"), on).select("l.*", "r._before").withColumn(name, F.col("_before") + within).drop("_before")
+    return rows.alias("l").join(sizes.alias("r"), on).select("l.*", "r._before", "r._n", "r._all")
+
+
+def ordered_rank(df: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], name: str) -> DataFrame:
+    """``df`` with each row's place by descending score and then ``ties``, from 1, in its group; rows without
+    a score come last.  Rows are ordered only inside a stretch of scores, whose rows before it are counted."""
+    within = Window.partitionBy(*by, "_b").orderBy(F.col(score).desc(), *ties)
+    return _placed(df, by, score).withColumn(name, F.col("_before") + F.row_number().over(within)).drop("_b", "_before", "_n", "_all")
 
 
 def choose_top(df: DataFrame, by: Sequence[str], fraction: float, score: str, ties: Sequence[str], name: str) -> DataFrame:
-    """``df`` with ``name``: 1 for the first floor(fraction * n + 0.5) rows of each group by descending score.
+    """``df`` with ``name``: 1 for the first floor(fraction * n + 0.5) rows of each group by descending score
+    and then ``ties``; rows without a score come last.
 
-    The score at which a group is cut comes from counts; only rows of that score are ordered, by ``ties``.
-    A missing score comes last.
+    Whole stretches of scores are taken or left by their counts; only the one that a group is cut in is ordered.
     """
-    filled = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
-    counts = cut_lineage(df.groupBy(*by, filled.alias("_score")).agg(F.count("*").alias("_n")))
-    steps = running_totals(counts, by, "_score", {"_upto": "_n"}, descending=True)
-    steps = group_totals(steps, counts.groupBy(*by).agg(F.sum("_n").alias("_all")), by, ["_all"])
-    take = half_up_count(F.col("_all") * fraction)
-    steps = steps.select(*by, "_score", (take - (F.col("_upto") - F.col("_n"))).alias("_left"), "_n")
-    on = F.col("l._score") == F.col("r._score")
-    for b in by:
-        on = on & F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
-    rows = df.withColumn("_score", filled).alias("l").join(steps.alias("r"), on).select("l.*", "r._left", "r._n")
+    left = half_up_count(F.col("_all") * fraction) - F.col("_before")
+    rows = _placed(df, by, score).withColumn("_left", left)
     cut = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
     whole = rows.where(~cut).withColumn(name, (F.col("_left") > 0).cast("int"))
-    order = Window.partitionBy(*by, "_score").orderBy(*ties) if ties else Window.partitionBy(*by, "_score").orderBy(F.lit(0))
-    tied = rows.where(cut).withColumn(name, (F.row_number().over(order) <= F.col("_left")).cast("int"))
-    return whole.unionByName(tied).drop("_score", "_left", "_n")
+    within = Window.partitionBy(*by, "_b").orderBy(F.col(score).desc(), *ties)
+    part = rows.where(cut).withColumn(name, (F.row_number().over(within) <= F.col("_left")).cast("int"))
+    return whole.unionByName(part).drop("_b", "_before", "_n", "_all", "_left")
 
 
 def repeated(keys: Sequence[str]) -> Column:
