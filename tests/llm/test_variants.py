@@ -8,6 +8,7 @@ from conftest import DATA
 from quillspan.llm import variants
 from quillspan.llm.queries import _typed_names
 from quillspan.llm.variants import name_similarity, name_words, org_agreement, org_core, org_relation, star_clusters, text_bands, tune_bands, variant_pairs
+from quillspan.session import cut_lineage
 
 SCHEMA = "name_id long, name string, organization string, year int, position string"
 
@@ -146,3 +147,22 @@ def test_names_of_short_words_meet(spark):
     _against_brute_force(spark, [(1, "Yao Li", "Ashmoor", 2007, "PG"), (2, "Yao Li", "Ashmoor", 2007, "C"), (3, "Yao Lian", "Ashmoor", 2007, "PG"), (4, "Kim Lee", "Holcombe", 2011, "SF"), (5, "Kim Leee", "Holcombe", 2011, None), (6, "Bo Lu", None, 2010, "C"), (7, "Lu, Bo", "Kesbrook", None, "C")])
     _against_brute_force(spark, [(1, "Yao Sun", "Ashmoor", 2007, "PG"), (2, "Sun, Yao", "Ashmoor", 2007, "C"), (3, "Bo Li", "Holcombe", 2011, "PG"), (4, "Bo Lee", "Holcombe", 2011, "PG"), (5, "Li, Bo", "Holcombe", 2011, None), (6, "Ana Vu", "Margate", None, None), (7, "Ana Vu", None, 2003, None)])
     _against_brute_force(spark, [(1, "B. J.", "Ashmoor", 2007, "PG"), (2, "BJ", "Ashmoor", 2007, "PG"), (3, "J B", "Ashmoor", 2007, "C")])
+
+
+def test_slices_meet_the_same_pairs(spark):
+    made = variants.profiles(_typed_names(spark, str(DATA / "sf0.01")))
+    distinct = cut_lineage(made.where("name_id = profile and size(words) > 0").drop("name_id"))
+    whole, parts = ({(r["a"], r["b"]) for r in variants.candidate_pairs(distinct, n).collect()} for n in (10**6, -(-distinct.count() // 7)))
+    assert parts == whole and whole
+
+
+def test_rare_spellings_look_for_the_usual_one(spark):
+    usual, rare = "ashby state", [f"ashby state {x}" for x in "klmnopqr"]
+    rows = [(i, usual, None, [1, 2]) for i in range(100)] + [(1000 + i, o, None, [1]) for i, o in enumerate(rare)]
+    held = spark.createDataFrame(rows, "profile long, org string, year int, bands array<long>")
+    related = spark.createDataFrame([p for o in rare for p in ((usual, o), (o, usual))], "org string, other string")
+    chosen = variants.seeking(related, held)
+    assert {tuple(r) for r in chosen.collect()} == {(o, usual) for o in rare}
+    seek, _ = variants.cell_rows(held, chosen)
+    # each row's own cells, and one more for each rare row; the usual rows are not written out for every spelling
+    assert seek.count() == 100 * 2 + 8 + 8
